@@ -1,0 +1,66 @@
+"""Spans against plain use of the patterns, checksums, and edge cases."""
+
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import types as T
+
+from keyloom.llm import pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain(text):
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub(r"[^0-9]", "", m[0])
+            if kind == "ip" and max(int(p) for p in m[0].split(".")) > 255:
+                continue
+            if kind == "card" and not (16 <= len(digits) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0):
+                continue
+            if kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="ab1234567890.@-+ ()%é\n", max_size=60))
+def test_base_spans_equal_plain_patterns(text):
+    assert [s[:3] for s in pii.spans(text) if s[0] in pii.BASE] == plain(text)
+
+
+@pytest.mark.parametrize("text", ["4111111111111111 and 5500 0000 0000 0004", "a@b.c@d.e.f x@y..z me@host.example.org", "1.2.3.4.5.6.7.8 300.1.1.1 001.002.003.004", "+1 (988) 555-2485 +12 +1234567890123456"])
+def test_chosen_texts(text):
+    assert [s[:3] for s in pii.spans(text) if s[0] in pii.BASE] == plain(text)
+
+
+def test_checksums_and_context():
+    assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
+    (kind, a, b, low), = pii.spans("xx GB82 WEST 1234 5698 7654 32 yy")
+    (_, _, _, high), = pii.spans("iban GB82 WEST 1234 5698 7654 32 yy")
+    assert kind == "iban" and (a, b) == (3, 30) and high > low
+
+
+def test_long_texts_take_linear_time():
+    for text in ("a" * 300_000 + "@", "1" * 300_000, "+1" * 150_000, "1." * 150_000, "a@" * 150_000, "A1" * 150_000):
+        pii.spans(text)
+
+
+def test_redaction_and_edge_cases(spark):
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("kind", T.StringType())])
+    rows = [(1, "mail a.b@c.de now", "x"), (None, None, None), (2, "", "y"), (1, "mail a.b@c.de now", "x")]
+    df = spark.createDataFrame(rows, schema)
+    assert [r.text for r in pii.redact(df).collect()] == ["mail <EMAIL> now", None, "", "mail <EMAIL> now"]
+    assert [len(r.spans) for r in pii.find(df).collect()] == [1, 0, 0, 1]
+    assert pii.find(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        pii.find(df.withColumnRenamed("kind", "spans"))
