@@ -11,8 +11,9 @@ import atexit
 import re
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP_SQL = r"[\\x20\\x09-\\x0D]+"
 
-#: Where a text may be cut so that its byte-level pieces encode alone.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Where a text may be cut so that its byte-level pieces encode alone: a line end, then a space, between two other characters.
+_LINES, _CUT = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
+#: Marks that end a word and join no other id; an apostrophe may, so it isn't here.
+_MARKS = frozenset(".,;:!?")
 
 _local_dirs: dict[str, str] = {}
 
@@ -77,16 +80,35 @@ def without(df: DataFrame, *names: str) -> None:
         raise ValueError(f"input has reserved columns {sorted(clash)}")
 
 
+@lru_cache(maxsize=1)
+def _byte_chars() -> dict[int, str]:
+    """How byte-level vocabularies spell bytes: visible Latin-1 characters as they are, others from U+0100 on."""
+    visible = {b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+def _pieces(text: str) -> list[list[str]]:
+    """The pieces of each line of a text."""
+    lines = text.split("\n")
+    out = [line.split() for line in lines]
+    # Plain lines, words with single spaces between them, come back whole; others take the patterns.
+    if all(p and " ".join(p) == line for p, line in zip(out, lines, strict=True)):
+        return out
+    return [_CUT.split(line) for line in _LINES.split(text)]
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizers file, once for each distinct space-delimited piece.
 
     The pattern of the byte-level vocabulary never matches across a single space
-    that stands between two non-space characters, so a text may be cut before
-    such a space: ids of the pieces concatenate to the ids of the text. Pieces
-    that touch other white space stay together with their neighbours.
+    that stands between two characters that aren't white space, and takes a single
+    line end there as an id of its own. So a text may be cut at both: ids of the
+    pieces concatenate to the ids of the text. Other white space stays inside pieces.
+    Pieces met lately are kept in two generations, so that frequent ones stay.
     """
 
-    def __init__(self, path: str, dtype: str = "<u4", most: int = 700_000):
+    def __init__(self, path: str, dtype: str = "<u4", most: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -94,46 +116,88 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._dtype = dtype
+        self._dtype, self._code = dtype, {"<u2": "H", "<u4": "I"}[dtype]
+        (self._line_end,) = self._tokenizer.encode("\n", add_special_tokens=False).ids
         self._most = most
-        self._first: dict[str, bytes] = {}
+        self._first: dict[str, bytes] = {"": b""}
         self._later: dict[str, bytes] = {}
-
-    def _fill(self, known: dict[str, bytes], texts: Iterable[str], prefix: str) -> None:
-        import numpy as np
-
-        new = [t for t in set(texts) if t not in known]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            made = self._tokenizer.encode_batch_fast([prefix + t for t in some], add_special_tokens=False)
+        self._older: dict[str, bytes] = {}
+        self._marks: dict[str, bytes] = {}
+
+    def _fill(self, known: dict[str, bytes], older: dict[str, bytes], texts: set[str], space: bool) -> None:
+        # Most pieces are letters, maybe with one mark after them; a mark is always an id of its own.
+        odd, stems, ended = [], set(), []
+        new = texts - known.keys()
+        kept = new & older.keys()
+        for t in kept:
+            known[t] = older[t]
+        for t in new - kept:
+            if t.isalpha():
+                stems.add(t)
+            elif t and t[-1] in _MARKS and t[:-1].isalpha():
+                ended.append(t)
+                if t[:-1] not in known:
+                    stems.add(t[:-1])
+            else:
+                odd.append(t)
+        if space:
+            self._encode_words(known, stems)
+        else:
+            odd += stems
+        self._encode_apart(known, odd, space)
+        for t in ended:
+            mark = self._marks.get(t[-1])
+            if mark is None:
+                self._encode_apart(self._marks, [t[-1]], False)
+                mark = self._marks[t[-1]]
+            known[t] = known[t[:-1]] + mark
+
+    def _encode_apart(self, known: dict[str, bytes], texts: list[str], space: bool) -> None:
+        for at in range(0, len(texts), 4096):
+            some = texts[at : at + 4096]
+            made = self._tokenizer.encode_batch_fast([" " + t for t in some] if space else some, add_special_tokens=False)
             for t, e in zip(some, made, strict=True):
-                known[t] = np.asarray(e.ids, dtype=self._dtype).tobytes()
+                known[t] = array(self._code, e.ids).tobytes()
+
+    def _encode_words(self, known: dict[str, bytes], words: Iterable[str]) -> None:
+        """Encodes words of letters, each after a space: what the pattern would leave whole goes to the model at once."""
+        tokenize, code, chars = self._tokenizer.model.tokenize, self._code, _byte_chars()
+        for w in words:
+            spelt = w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(chars)
+            known[w] = array(code, [x.id for x in tokenize("\u0120" + spelt)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed little-endian numbers."""
         out: list[bytes] = []
-        batch: list[list[str]] = []
+        batch: list[list[list[str]]] = []
         size = 0
         for i, text in enumerate(texts):
-            batch.append(_CUT.split(text))
+            batch.append(_pieces(text))
             size += len(text)
-            if size > 2_000_000 or i == len(texts) - 1:
+            if size > 1_500_000 or i == len(texts) - 1:
                 out += self._encode(batch)
                 batch, size = [], 0
         return out
 
-    def _encode(self, batch: list[list[str]]) -> list[bytes]:
-        if len(self._first) > self._most // 10:
-            self._first.clear()
-        if len(self._later) > self._most:  # pieces met early are the frequent ones
-            self._later = dict(islice(self._later.items(), self._most // 4))
-        self._fill(self._first, (p[0] for p in batch if p[0]), "")
+    def _encode(self, batch: list[list[list[str]]]) -> list[bytes]:
+        if len(self._first) * 4 > self._most:
+            self._first = {"": b""}
+        if len(self._later) * 2 > self._most:
+            self._later, self._older = {}, self._later
+        self._fill(self._first, {}, {p[0] for lines in batch for p in lines}, False)
         later: set[str] = set()
-        for p in batch:
-            later.update(p[1:])
-        self._fill(self._later, later, " ")
-        first, after = self._first, self._later
-        return [(first[p[0]] if p[0] else b"") + b"".join([after[x] for x in p[1:]]) for p in batch]
+        for lines in batch:
+            for p in lines:
+                later.update(p[1:])
+        self._fill(self._later, self._older, later, True)
+        first, after, line_end = self._first, self._later.__getitem__, array(self._code, [self._line_end]).tobytes()
+        return [line_end.join([first[p[0]] + b"".join(map(after, p[1:])) for p in lines]) for lines in batch]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, dtype: str) -> WordEncoder:
+    """The encoder of this process: pieces met in one task are known in the next."""
+    return WordEncoder(path, dtype)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import WordEncoder, persisted, slices, tokenizer_path, without
+from ._shared import encoder as encoder_of, persisted, slices, tokenizer_path, without
 
 CAPACITY = 2048
 #: Pieces packed together: a bound on the memory of a task; each group leaves about one sequence underfull.
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
     def run(batches):
         import pyarrow as pa
 
-        encoder = WordEncoder(tokenizer, "<u4")
+        encoder = encoder_of(tokenizer, "<u4")
         for batch in slices(batches, 2_000_000):
             rows: list[tuple] = []
             encoded = encoder.encode([t or "" for t in batch.column("text").to_pylist()])

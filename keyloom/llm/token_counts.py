@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._files import created, listed, read_range
-from ._shared import WordEncoder, new_path, persisted, slices, tokenizer_path
+from ._shared import encoder as encoder_of, new_path, persisted, slices, tokenizer_path
 
 #: The end-of-document id of the vocabulary; ordinary text never encodes to it.
 END_ID = 50256
@@ -37,7 +37,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, widt
         from pyspark import TaskContext
 
         name = f"{path}/part-{TaskContext.get().partitionId():06d}.ids"
-        encoder, place, numbers = WordEncoder(tokenizer, f"<u{width}"), 0, []
+        encoder, place, numbers = encoder_of(tokenizer, f"<u{width}"), 0, []
         with created(name) as out:
             for batch in slices(batches):
                 for ids in encoder.encode([t or "" for t in batch.column("text").to_pylist()]):

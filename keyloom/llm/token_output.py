@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._files import created, listed, read_all
-from ._shared import WordEncoder, new_path, persisted, slices, tokenizer_path
+from ._shared import encoder as encoder_of, new_path, persisted, slices, tokenizer_path
 
 MAGIC = b"KLEF0001"
 EVERY = 256
@@ -174,7 +174,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, width: in
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = WordEncoder(tokenizer, f"<u{width}")
+        encoder = encoder_of(tokenizer, f"<u{width}")
         kept: list[tuple[int | None, bytes]] = []
         held, seq = 0, 0
 
