@@ -67,6 +67,12 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that stand for much work each, dealt to as many tasks as there are, at most four a core or shuffle partition."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(df.count(), 4 * max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; null gives an empty array."""
     parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._files import created, listed, read_range
-from ._shared import encoder as encoder_of, new_path, persisted, slices, tokenizer_path
+from ._shared import encoder as encoder_of, new_path, persisted, slices, spread, tokenizer_path
 
 #: The end-of-document id of the vocabulary; ordinary text never encodes to it.
 END_ID = 50256
@@ -64,7 +64,7 @@ def count(spark: SparkSession, path: str, end_id: int = END_ID, width: int = 2,
     """
     files = spark.createDataFrame([(uri, size // width) for uri, size in listed(path, ".ids")], "uri string, n_ids long")
     starts = files.where("n_ids > 0").select("uri", F.explode(F.expr(f"sequence(0L, n_ids - 1, {block_ids}L)")).alias("first"), "n_ids")
-    blocks = starts.select("uri", "first", F.least(F.lit(block_ids).cast("long"), F.col("n_ids") - F.col("first")).alias("n")).repartition(F.xxhash64("uri", "first"))
+    blocks = spread(starts.select("uri", "first", F.least(F.lit(block_ids).cast("long"), F.col("n_ids") - F.col("first")).alias("n")))
 
     def search(batches):
         import pyarrow as pa

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._files import created, listed, read_all
-from ._shared import encoder as encoder_of, new_path, persisted, slices, tokenizer_path
+from ._shared import encoder as encoder_of, new_path, persisted, slices, spread, tokenizer_path
 
 MAGIC = b"KLEF0001"
 EVERY = 256
@@ -208,7 +208,7 @@ def read(shards: DataFrame) -> DataFrame:
     base = parts.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
     within = F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = shards.withColumn("within", within).join(base, F.col("part") == F.col("of"))
-    todo = placed.select("path", (F.col("part_start") + F.col("within")).cast("long").alias("base")).repartition(F.xxhash64("path"))
+    todo = spread(placed.select("path", (F.col("part_start") + F.col("within")).cast("long").alias("base")))
 
     def run(batches):
         import pyarrow as pa
