@@ -114,7 +114,7 @@ class WordEncoder:
     Pieces met lately are kept in two generations, so that frequent ones stay.
     """
 
-    def __init__(self, path: str, dtype: str = "<u4", most: int = 600_000):
+    def __init__(self, path: str, dtype: str = "<u4", most: int = 900_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -180,7 +180,7 @@ class WordEncoder:
         for i, text in enumerate(texts):
             batch.append(_pieces(text))
             size += len(text)
-            if size > 1_500_000 or i == len(texts) - 1:
+            if size > 3_000_000 or i == len(texts) - 1:
                 out += self._encode(batch)
                 batch, size = [], 0
         return out
