@@ -60,7 +60,8 @@ def ranges(relation: DataFrame, queries: DataFrame) -> DataFrame:
 def ranges_by_band(relation: DataFrame, queries: DataFrame, width: int) -> DataFrame:
     """``ranges`` for short ranges: an equi-join on bands of ``width`` keys, then BETWEEN."""
     bands = queries.withColumn("band", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.greatest("hi", "lo") / width))))
-    keys = relation.select("key", "payload", F.floor(F.col("key") / width).alias("band"))
+    # Rows of one key come together first, so a range meets each key once.
+    keys = relation.groupBy("key").agg(F.count("*").alias("c"), F.sum("payload").cast("long").alias("v")).withColumn("band", F.floor(F.col("key") / width))
     hits = bands.join(keys, "band").where(F.col("key").between(F.col("lo"), F.col("hi")))
-    sums = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("payload").cast("long").alias("total"))
+    sums = hits.groupBy("query_id").agg(F.sum("c").cast("long").alias("n"), F.sum("v").cast("long").alias("total"))
     return queries.join(sums, "query_id", "left").withColumns({"n": F.coalesce("n", F.lit(0).cast("long")), "total": F.coalesce("total", F.lit(0).cast("long"))})

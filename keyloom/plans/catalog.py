@@ -199,7 +199,7 @@ def range_count_sum_prefix(spark, d):
 
 @query(_RANGES)
 def range_count_sum_band(spark, d):
-    return lookup.ranges_by_band(parts_relation(spark, d), range_queries(spark, d), 1024)
+    return lookup.ranges_by_band(parts_relation(spark, d), range_queries(spark, d), 64)
 
 
 @query(_RANGES.replace("SELECT query_id, lo, hi, CAST", "SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(total) AS BIGINT) AS total FROM (SELECT CAST").replace("FROM (q ASOF", "FROM (q ASOF") + ")")
