@@ -34,8 +34,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents, placed in sequences."""
-    return packing.packed(docs)
+    """The pieces of the documents, placed in sequences.
+
+    Executors have served four stages by now, so encoders remember less than they do on their own.
+    """
+    return packing.packed(docs, remember=200_000)
 
 
 STAGES = [

@@ -27,6 +27,9 @@ _LINES, _CUT = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
 #: Marks that end a word and join no other id; an apostrophe may, so it isn't here.
 _MARKS = frozenset(".,;:!?")
 
+#: Pieces that an encoder remembers, some 150 bytes each.
+REMEMBER = 900_000
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -114,7 +117,7 @@ class WordEncoder:
     Pieces met lately are kept in two generations, so that frequent ones stay.
     """
 
-    def __init__(self, path: str, dtype: str = "<u4", most: int = 900_000):
+    def __init__(self, path: str, dtype: str = "<u4", most: int = REMEMBER):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -180,7 +183,7 @@ class WordEncoder:
         for i, text in enumerate(texts):
             batch.append(_pieces(text))
             size += len(text)
-            if size > 3_000_000 or i == len(texts) - 1:
+            if size > 3 * self._most or i == len(texts) - 1:
                 out += self._encode(batch)
                 batch, size = [], 0
         return out
@@ -201,9 +204,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, dtype: str) -> WordEncoder:
+def encoder(path: str, dtype: str, most: int = REMEMBER) -> WordEncoder:
     """The encoder of this process: pieces met in one task are known in the next."""
-    return WordEncoder(path, dtype)
+    return WordEncoder(path, dtype, most)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -212,12 +215,34 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def slices(batches: Iterator, most_bytes: int = 8_000_000) -> Iterator:
-    """Arrow batches cut to about ``most_bytes``, a single longer row alone."""
-    for batch in batches:
-        rows = batch.num_rows
-        if not rows:
-            continue
-        step = max(1, min(rows, rows * most_bytes // max(1, batch.nbytes)))
-        for at in range(0, rows, step):
-            yield batch.slice(at, step)
+def slices(batches: Iterator, most_bytes: int = 8_000_000, encodes: bool = False) -> Iterator:
+    """Arrow batches cut to about ``most_bytes``, a single longer row alone.
+
+    A task that encodes nothing first drops what earlier tasks of its process kept to
+    encode with, and every task hands unused memory back when it ends.
+    """
+    if not encodes:
+        encoder.cache_clear()
+    give_back()
+    try:
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            step = max(1, min(rows, rows * most_bytes // max(1, batch.nbytes)))
+            for at in range(0, rows, step):
+                yield batch.slice(at, step)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Returns memory that nothing uses to the system, where the allocators allow it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

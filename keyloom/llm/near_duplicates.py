@@ -210,7 +210,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for table in _groups(batches, ("bucket", "p", "q")):
+        for table in _groups(slices(batches), ("bucket", "p", "q")):
             cid = table.column("cid").to_numpy()
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(cid), BANDS * ROWS)
             bounds = _runs(*(table.column(k).to_numpy() for k in keys))

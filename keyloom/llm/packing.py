@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import encoder as encoder_of, persisted, slices, tokenizer_path, without
+from ._shared import REMEMBER, persisted, slices, tokenizer_path, without
+from ._shared import encoder as encoder_of
 
 CAPACITY = 2048
 #: Pieces packed together: a bound on the memory of a task; each group leaves about one sequence underfull.
@@ -35,15 +36,18 @@ def cut(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((first + i * capacity, capacity) for i in range(n - 1))]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids) of every document; ids as unsigned 32-bit binary."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, remember: int = REMEMBER) -> DataFrame:
+    """(doc_id, piece, start, length, ids) of every document; ids as unsigned 32-bit binary.
+
+    ``remember`` bounds the encoded pieces that a Python process keeps, memory against time.
+    """
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
         import pyarrow as pa
 
-        encoder = encoder_of(tokenizer, "<u4")
-        for batch in slices(batches, 2_000_000):
+        encoder = encoder_of(tokenizer, "<u4", remember)
+        for batch in slices(batches, 2_000_000, encodes=True):
             rows: list[tuple] = []
             encoded = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             for number, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
@@ -173,9 +177,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     return dealt.groupBy("_group").applyInArrow(run, schema)
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, remember: int = REMEMBER) -> DataFrame:
     """The placed pieces of documents, with a checksum in place of the ids."""
-    cut_up = pieces(docs, tokenizer_path()).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    cut_up = pieces(docs, tokenizer_path(), remember=remember).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(cut_up)
 
 

@@ -19,7 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._files import created, listed, read_range
-from ._shared import encoder as encoder_of, new_path, persisted, slices, spread, tokenizer_path
+from ._shared import encoder as encoder_of
+from ._shared import new_path, persisted, slices, spread, tokenizer_path
 
 #: The end-of-document id of the vocabulary; ordinary text never encodes to it.
 END_ID = 50256
@@ -39,7 +40,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, widt
         name = f"{path}/part-{TaskContext.get().partitionId():06d}.ids"
         encoder, place, numbers = encoder_of(tokenizer, f"<u{width}"), 0, []
         with created(name) as out:
-            for batch in slices(batches):
+            for batch in slices(batches, encodes=True):
                 for ids in encoder.encode([t or "" for t in batch.column("text").to_pylist()]):
                     out.write(ids + end)
                 numbers += batch.column("doc_id").to_pylist()

@@ -30,7 +30,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._files import created, listed, read_all
-from ._shared import encoder as encoder_of, new_path, persisted, slices, spread, tokenizer_path
+from ._shared import encoder as encoder_of
+from ._shared import new_path, persisted, slices, spread, tokenizer_path
 
 MAGIC = b"KLEF0001"
 EVERY = 256
@@ -187,7 +188,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, width: in
             kept, held, seq = [], 0, seq + 1
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-        for batch in slices(batches):
+        for batch in slices(batches, encodes=True):
             encoded = encoder.encode(batch.column("text").to_pylist())
             for number, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 size = len(ids) // width + 1

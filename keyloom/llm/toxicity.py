@@ -163,7 +163,7 @@ class Model:
                 for word in set(_WORD.findall(low)):
                     w = known.get(word)
                     if w is None:
-                        if len(known) > 300_000:
+                        if len(known) > 150_000:
                             known.clear()
                         w = known[word] = weight(word)
                     if w > 0:
