@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 #: Most copies of a source, and so of a document.
 MOST = 3
 
-_OWN = ("_mix_salt", "_mix_tie", "_mix_at", "_mix_part", "_mix_first", "_mix_before", "_mix_source_size", "_mix_target", "_mix_offset", "_mix_size", "_mix_copies")
+_OWN = ("_mix_salt", "_mix_tie", "_mix_at", "_mix_part", "_mix_first", "_mix_before", "_mix_source_size", "_mix_target", "_mix_offset", "_mix_size", "_mix_copies", "_mix_row")
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -93,11 +93,17 @@ def plan(sized: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """``docs`` with every document as often as the mix takes it; same columns."""
+    """``docs`` with every document as often as the mix takes it; same columns.
+
+    Only numbers and sizes go through the order by size; texts are joined back by row
+    number, dealt by its hash, so that no task gets all long texts of a source.
+    """
     without(docs, *_OWN)
-    sized = docs.withColumn("_mix_size", F.size(words(F.col("text"))).cast("long"))
-    planned = plan(sized, seed).where("_mix_copies > 0")
-    return planned.withColumn("_mix_salt", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*docs.columns)
+    numbered = docs.withColumns({"_mix_size": F.size(words(F.col("text"))).cast("long"), "_mix_row": F.monotonically_increasing_id()})
+    rows = persisted(numbered, "mix-rows")
+    planned = plan(rows.select("_mix_row", "doc_id", "source", "_mix_size"), seed).where("_mix_copies > 0").select("_mix_row", "_mix_copies")
+    repeated = rows.join(planned, "_mix_row").withColumn("_mix_salt", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))))
+    return repeated.select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
