@@ -28,7 +28,7 @@ _LINES, _CUT = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
 _MARKS = frozenset(".,;:!?")
 
 #: Pieces that an encoder remembers, some 150 bytes each.
-REMEMBER = 900_000
+REMEMBER = 1_300_000
 
 _local_dirs: dict[str, str] = {}
 
