@@ -8,13 +8,13 @@ for a local master that names none.
 from __future__ import annotations
 
 import atexit
-import re
 import tempfile
 import uuid
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP_SQL = r"[\\x20\\x09-\\x0D]+"
 
-#: Where a text may be cut so that its byte-level pieces encode alone: a line end, then a space, between two other characters.
-_LINES, _CUT = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
 #: Marks that end a word and join no other id; an apostrophe may, so it isn't here.
 _MARKS = frozenset(".,;:!?")
 
@@ -97,24 +95,29 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
-def _pieces(text: str) -> list[list[str]]:
-    """The pieces of each line of a text."""
-    lines = text.split("\n")
-    out = [line.split() for line in lines]
-    # Plain lines, words with single spaces between them, come back whole; others take the patterns.
-    if all(p and " ".join(p) == line for p, line in zip(out, lines, strict=True)):
-        return out
-    return [_CUT.split(line) for line in _LINES.split(text)]
+def _byte_set(*spans: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for first, last in spans:
+        out[first : last + 1] = True
+    return out
+
+
+#: White space of one byte; bytes that begin characters some of which are white space, of two bytes and of three.
+_WHITE, _LEAD2, _LEAD3 = _byte_set((9, 13), (28, 32)), _byte_set((0xC2, 0xC2)), _byte_set((0xE1, 0xE3))
+_NOT_AFTER = _WHITE | _LEAD2 | _LEAD3
 
 
 class WordEncoder:
-    """Encodes whole texts with a tokenizers file, once for each distinct space-delimited piece.
+    """Encodes whole texts with a tokenizers file, once for each distinct piece.
 
     The pattern of the byte-level vocabulary never matches across a single space
-    that stands between two characters that aren't white space, and takes a single
-    line end there as an id of its own. So a text may be cut at both: ids of the
-    pieces concatenate to the ids of the text. Other white space stays inside pieces.
-    Pieces met lately are kept in two generations, so that frequent ones stay.
+    that stands between two characters that aren't white space (the space goes with
+    what follows), and takes a single line end there as an id of its own. So a text
+    may be cut at both: ids of the pieces concatenate to the ids of the text. Beside
+    characters that could be white space beyond ASCII nothing is cut; other white space
+    stays inside pieces. Arrow numbers the distinct pieces of a batch, so Python
+    meets each once; those met lately are kept in two generations, so that
+    frequent ones stay.
     """
 
     def __init__(self, path: str, dtype: str = "<u4", most: int = REMEMBER):
@@ -126,81 +129,96 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._dtype, self._code = dtype, {"<u2": "H", "<u4": "I"}[dtype]
-        (self._line_end,) = self._tokenizer.encode("\n", add_special_tokens=False).ids
         self._most = most
-        self._first: dict[str, bytes] = {"": b""}
-        self._later: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
-        self._marks: dict[str, bytes] = {}
-
-    def _fill(self, known: dict[str, bytes], older: dict[str, bytes], texts: set[str], space: bool) -> None:
-        # Most pieces are letters, maybe with one mark after them; a mark is always an id of its own.
-        odd, stems, ended = [], set(), []
-        new = texts - known.keys()
-        kept = new & older.keys()
-        for t in kept:
-            known[t] = older[t]
-        for t in new - kept:
-            if t.isalpha():
-                stems.add(t)
-            elif t and t[-1] in _MARKS and t[:-1].isalpha():
-                ended.append(t)
-                if t[:-1] not in known:
-                    stems.add(t[:-1])
-            else:
-                odd.append(t)
-        if space:
-            self._encode_words(known, stems)
-        else:
-            odd += stems
-        self._encode_apart(known, odd, space)
-        for t in ended:
-            mark = self._marks.get(t[-1])
-            if mark is None:
-                self._encode_apart(self._marks, [t[-1]], False)
-                mark = self._marks[t[-1]]
-            known[t] = known[t[:-1]] + mark
-
-    def _encode_apart(self, known: dict[str, bytes], texts: list[str], space: bool) -> None:
-        for at in range(0, len(texts), 4096):
-            some = texts[at : at + 4096]
-            made = self._tokenizer.encode_batch_fast([" " + t for t in some] if space else some, add_special_tokens=False)
-            for t, e in zip(some, made, strict=True):
-                known[t] = array(self._code, e.ids).tobytes()
-
-    def _encode_words(self, known: dict[str, bytes], words: Iterable[str]) -> None:
-        """Encodes words of letters, each after a space: what the pattern would leave whole goes to the model at once."""
+        self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Encodes pieces that aren't known. Most are letters, maybe with one mark after them; a mark is always an id of its own."""
+        known, odd, ended = self._known, [], []
         tokenize, code, chars = self._tokenizer.model.tokenize, self._code, _byte_chars()
-        for w in words:
-            spelt = w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(chars)
-            known[w] = array(code, [x.id for x in tokenize("\u0120" + spelt)]).tobytes()
+
+        def letters(piece: bytes, text: str) -> None:
+            # What the pattern would leave whole goes to the model at once.
+            spelt = text if len(text) == len(piece) else piece.decode("latin-1").translate(chars)
+            known[piece] = array(code, [x.id for x in tokenize("\u0120" + spelt[1:] if spelt[0] == " " else spelt)]).tobytes()
+
+        for piece in pieces:
+            text = piece.decode()
+            body = text[1:] if text[0] == " " else text
+            if body.isalpha():
+                letters(piece, text)
+            elif body[-1:] in _MARKS and body[:-1].isalpha():
+                if piece[:-1] not in known:
+                    letters(piece[:-1], text[:-1])
+                ended.append(piece)
+            else:
+                odd.append(piece)
+        marks = {p[-1:] for p in ended} - known.keys()
+        odd += marks - set(odd)
+        for at in range(0, len(odd), 4096):
+            some = odd[at : at + 4096]
+            for piece, made in zip(some, self._tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
+                known[piece] = array(code, made.ids).tobytes()
+        for piece in ended:
+            known[piece] = known[piece[:-1]] + known[piece[-1:]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed little-endian numbers."""
         out: list[bytes] = []
-        batch: list[list[list[str]]] = []
+        batch: list[bytes] = []
         size = 0
         for i, text in enumerate(texts):
-            batch.append(_pieces(text))
-            size += len(text)
-            if size > 3 * self._most or i == len(texts) - 1:
+            batch.append(text.encode())
+            size += len(batch[-1])
+            if size > min(8_000_000, 6 * self._most) or i == len(texts) - 1:
                 out += self._encode(batch)
                 batch, size = [], 0
         return out
 
-    def _encode(self, batch: list[list[list[str]]]) -> list[bytes]:
-        if len(self._first) * 4 > self._most:
-            self._first = {"": b""}
-        if len(self._later) * 2 > self._most:
-            self._later, self._older = {}, self._later
-        self._fill(self._first, {}, {p[0] for lines in batch for p in lines}, False)
-        later: set[str] = set()
-        for lines in batch:
-            for p in lines:
-                later.update(p[1:])
-        self._fill(self._later, self._older, later, True)
-        first, after, line_end = self._first, self._later.__getitem__, array(self._code, [self._line_end]).tobytes()
-        return [line_end.join([first[p[0]] + b"".join(map(after, p[1:])) for p in lines]) for lines in batch]
+    def _encode(self, batch: list[bytes]) -> list[bytes]:
+        import pyarrow as pa
+
+        joined = b"".join(batch)
+        if not joined:
+            return [b""] * len(batch)
+        data, ends = np.frombuffer(joined, np.uint8), np.cumsum([len(b) for b in batch])
+        # Where pieces begin: at texts, at spaces to cut at, and at and after line ends to cut at.
+        begins = np.zeros(len(data) + 1, bool)
+        begins[0] = True
+        begins[ends] = True
+        at = np.flatnonzero((data == 32) | (data == 10))
+        at = at[~begins[at] & ~begins[at + 1]]
+        at = at[~(_WHITE[data[at - 1]] | _LEAD2[data[at - 2]] | _LEAD3[data[at - 3]] | _NOT_AFTER[data[at + 1]])]
+        begins[at] = True
+        begins[at[data[at] == 10] + 1] = True
+        bounds = np.flatnonzero(begins[:-1])
+        offsets = np.append(bounds, len(data)).astype(np.int64)
+        numbered = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+        place, (_, cuts, distinct) = numbered.indices.to_numpy(), numbered.dictionary.buffers()
+        raw, cuts = distinct.to_pybytes(), np.frombuffer(cuts, np.int64)[: len(numbered.dictionary) + 1].tolist()
+        pieces = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+        if len(self._known) * 2 > self._most:
+            self._known, self._older = {}, self._known
+        known, older = self._known, self._older
+        new = [p for p in pieces if p not in known]
+        if older:
+            for p in new:
+                if p in older:
+                    known[p] = older[p]
+            new = [p for p in new if p not in known]
+        self._learn(new)
+        made = [known[p] for p in pieces]
+
+        width = np.dtype(self._dtype).itemsize
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // width
+        first, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(made), self._dtype)
+        count = sizes[place]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        out = ids[np.repeat(first[place] - upto[:-1], count) + np.arange(upto[-1])].tobytes()
+        stops = (upto[np.searchsorted(bounds, ends)] * width).tolist()
+        return [out[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
 
 @lru_cache(maxsize=2)
