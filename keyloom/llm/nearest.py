@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by score-aware quantisation and exact reranking.
+"""Nearest neighbours by score-aware quantisation and exact reranking.
 
 Vectors are scaled to length one, so the largest inner product is the largest
 cosine. ``fit`` learns, on a bounded sample, sixteen centroids for each pair of
@@ -6,7 +6,9 @@ dimensions; codes and centroids minimise an anisotropic loss, in which residual
 error parallel to the vector, which changes the highest inner products, weighs more
 than error at right angles to it. ``index`` codes every row, half a byte a pair.
 ``search`` sums byte-sized table entries of each query over the codes, block by
-block, takes the best of each block and reranks those by the exact cosine.
+block, takes the best of each block and reranks those by the exact cosine; then it
+reranks every other row whose table sum and residual leave open that its cosine
+reaches the worst one kept so far, so no row is lost to equal or nearly equal codes.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do rows without a number or with another number of dimensions than most
@@ -32,8 +34,10 @@ PART, CENTROIDS = 2, 16
 SAMPLE = 20_000
 #: Inner products from this cosine on are those whose error counts.
 FOCUS = 0.2
-#: Candidates that a query reranks in each block of rows, and the rows of a block.
+#: Candidates that a query reranks first in each block of rows, and the rows of a block.
 RERANK, BLOCK = 96, 8_192
+#: Slack for rounding in bounds on cosines, and pairs whose cosines are worked out at once.
+SLACK, PAIRS = 1e-9, 65_536
 #: Queries searched in one pass over the index, and those scanned at once in a task.
 QUERIES, AT_ONCE = 4_096, 256
 
@@ -71,12 +75,21 @@ class Codebook:
                 parallel = along[rows, code[:, p]]
         return code.astype(np.uint8)
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """Byte-sized look-up tables (queries, parts, 16); equal steps for all parts of a query."""
+    def residuals(self, x: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Residual error of unit vectors along themselves, and its length at right angles to them."""
+        v = self.split(x)
+        r = v - self.centroids[np.arange(v.shape[1])[None], code]
+        along = (r * v).sum((1, 2))
+        return along, np.sqrt(((r - along[:, None, None] * v) ** 2).sum((1, 2)))
+
+    def tables(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Byte-sized look-up tables (queries, parts, 16); the step of a query, equal for all parts, and what its sums leave out."""
         exact = np.einsum("npd,pkd->npk", self.split(q), self.centroids)
-        exact -= exact.min(2, keepdims=True)
-        step = exact.max(2).max(1)[:, None, None] / 255
-        return np.round(exact / np.where(step > 0, step, 1)).astype(np.uint8)
+        least = exact.min(2, keepdims=True)
+        exact -= least
+        step = exact.max(2).max(1) / 255
+        step = np.where(step > 0, step, 1)
+        return np.round(exact / step[:, None, None]).astype(np.uint8), step, least.sum((1, 2))
 
 
 def _means(x: np.ndarray, rng: np.random.RandomState, rounds: int = 10) -> np.ndarray:
@@ -144,21 +157,23 @@ def fit(vectors: DataFrame, most: int = SAMPLE) -> Codebook | None:
 
 
 def index(vectors: DataFrame, book: Codebook) -> DataFrame:
-    """(vec_id, embedding, code) of every usable row, kept in the shared folder."""
+    """(vec_id, embedding, code, along, across) of every usable row, kept in the shared folder; the last two from ``residuals``."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             if batch.num_rows:
-                code = book.encode(_unit(_matrix(batch.column("embedding"))))
+                x = _unit(_matrix(batch.column("embedding")))
+                code = book.encode(x)
+                along, across = book.residuals(x, code)
                 if code.shape[1] % 2:
                     code = np.pad(code, ((0, 0), (0, 1)))
                 packed = code[:, ::2] | code[:, 1::2] << 4
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed], pa.binary())], names=["vec_id", "embedding", "code"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(along), pa.array(across)], names=["vec_id", "embedding", "code", "along", "across"])
 
     rows = usable(vectors).where(F.size("embedding") == book.dims)
-    return persisted(rows.mapInArrow(run, "vec_id long, embedding array<double>, code binary"), "index")
+    return persisted(rows.mapInArrow(run, "vec_id long, embedding array<double>, code binary, along double, across double"), "index")
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -180,9 +195,46 @@ def _merged(score: np.ndarray, number: np.ndarray, k: int) -> tuple[np.ndarray,
     return np.take_along_axis(score, order, 1), np.take_along_axis(number, order, 1)
 
 
+def _reach(worst: np.ndarray, along: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """(queries, rows): the least inner product with its coded form of a row whose cosine is ``worst`` or more.
+
+    A unit query at cosine c to a row has inner product c * (1 - along) with its coded
+    form, give or take across * sqrt(1 - c * c). The lower end grows with c for c from 0
+    and along up to 1; nothing is ruled out otherwise.
+    """
+    c = np.clip(worst, 0, 1)[:, None]
+    low = c * (1 - along)[None] - np.sqrt(1 - c * c) * across[None]
+    low[worst < 0] = -np.inf
+    low[:, along > 1] = -np.inf
+    return low
+
+
+def _rest(open_: np.ndarray, worst: np.ndarray, queries: np.ndarray, x: np.ndarray, number: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and numbers (queries, k) of the best rows that ``open_`` marks and whose cosine reaches ``worst``, padded."""
+    score, found = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
+    asked, rows = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+    if not len(asked):
+        return score, found
+    # Products of matrices round in an order of their own, so they only rule out.
+    near = open_[np.ix_(asked, rows)] & (_unit(queries[asked]) @ _unit(x[rows]).T >= worst[asked, None] - SLACK)
+    q, r = np.nonzero(near)
+    q, r = asked[q], rows[r]
+    for at in range(0, len(q), PAIRS):
+        i, j = q[at : at + PAIRS], r[at : at + PAIRS]
+        exact = cosine(x[j], queries[i])
+        order = np.lexsort((number[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        kept = place < k
+        mine, new, new_number = np.unique(i), np.full(score.shape, -np.inf), np.full(found.shape, np.iinfo(np.int64).max)
+        new[i[kept], place[kept]], new_number[i[kept], place[kept]] = exact[kept], number[j[kept]]
+        score[mine], found[mine] = _merged(np.hstack([score[mine], new[mine]]), np.hstack([found[mine], new_number[mine]]), k)
+    return score, found
+
+
 def scan(batches, book: Codebook, ids: np.ndarray, queries: np.ndarray, k: int):
     """The exact k best of each query among the rows of one task: table scan, then reranking."""
-    tables = book.tables(_unit(queries))
+    tables, step, left_out = book.tables(_unit(queries))
     best, found = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
     for batch in batches:
         for start in range(0, batch.num_rows, BLOCK):
@@ -190,17 +242,27 @@ def scan(batches, book: Codebook, ids: np.ndarray, queries: np.ndarray, k: int):
             order = np.argsort(part.column("vec_id").to_numpy(), kind="stable")
             number, x = part.column("vec_id").to_numpy()[order], _matrix(part.column("embedding"))[order]
             packed = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(number), -1)[order]
+            along, across = part.column("along").to_numpy()[order], part.column("across").to_numpy()[order]
             for at in range(0, len(ids), AT_ONCE):
                 some = slice(at, at + AT_ONCE)
                 total = np.zeros((len(ids[some]), len(number)), np.int32)
                 for p in range(tables.shape[1]):
                     code = packed[:, p // 2] >> 4 if p % 2 else packed[:, p // 2] & 15
                     total += tables[some, p][:, code]
-                total[ids[some, None] == number[None]] = -1
+                own = ids[some, None] == number[None]
+                total[own] = -1
                 top = _best(total, RERANK)
                 exact = cosine(x[top], queries[some, None, :])
                 exact[np.take_along_axis(total, top, 1) < 0] = -np.inf
                 best[some], found[some] = _merged(np.hstack([best[some], exact]), np.hstack([found[some], number[top]]), k)
+                if len(number) > RERANK:
+                    worst = best[some, -1]
+                    # Table entries are rounded by half a step at most.
+                    most = (total + tables.shape[1] / 2) * step[some, None] + left_out[some, None]
+                    open_ = (most >= _reach(worst, along, across) - SLACK) & ~own
+                    np.put_along_axis(open_, top, False, 1)
+                    more, more_number = _rest(open_, worst, queries[some], x, number, k)
+                    best[some], found[some] = _merged(np.hstack([best[some], more]), np.hstack([found[some], more_number]), k)
     return best, found
 
 

@@ -43,6 +43,16 @@ def test_recall_and_exact_scores(spark):
     assert all(got[q] == sorted(got[q], key=lambda p: (-p[1], p[0])) for q in got)
 
 
+def test_recall_in_a_large_group_of_near_copies(spark):
+    rng = np.random.RandomState(7)
+    x = vectors(6000, 64, 7)
+    x[::3] = rng.randn(64) + 0.05 * rng.randn(2000, 64)
+    ids, x = np.arange(6000), x.astype(np.float32).astype(np.float64)
+    got, want = run(table(spark, ids, x).repartition(1)), brute(ids, x)
+    assert got.keys() == want.keys() and sum(q % 3 == 0 for q in want) == 40
+    assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want)
+
+
 def test_recall_on_the_test_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.orderBy("vec_id").collect()
