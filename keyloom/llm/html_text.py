@@ -1,8 +1,10 @@
 """Main text of web pages, with site templates removed.
 
 Every page becomes a tree of elements. Each subtree with text is hashed; Spark counts
-on how many pages of a host each hash occurs; subtrees that recur on many pages of
-their host are deleted. Then elements go whose kind, class or role marks menus,
+on how many different pages of a host each hash occurs; subtrees that recur on many
+pages of their host are deleted. Pages are different if the texts of their articles
+are (of their bodies, without article or main element), so copies count as one page
+and the containers of a copied article are no templates. Then elements go whose kind, class or role marks menus,
 headers, footers, sidebars, notices, adverts, forms, scripts and comments, and the
 text of the article is read off, block by block.
 
@@ -12,7 +14,7 @@ recur too; containers are. Without such an element the whole body is searched.
 
 Edge cases: a null or empty page has an empty text; a null url, or one without a
 host, belongs to no site, so nothing of it is a template; hosts with fewer than
-``LEAST`` pages have none; repeated rows count as pages; broken markup is read as far
+``LEAST`` different pages have none; repeated rows count as one page; broken markup is read as far
 as it goes; nesting of any depth and pages of any length are read whole. ``extract``
 keeps other columns and refuses a clash with ``text``, ``n_chars`` and ``_host``.
 """
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 
 from ._shared import persisted, slices, without
 
-#: A subtree is a template from this many pages on, and this share of the host's pages.
+#: A subtree is a template from this many different pages on, and this share of the host's.
 LEAST, SHARE = 5, 0.3
 #: Hashes of templates that are looked up by broadcast (under 100 bytes each); beyond, hosts are joined.
 BROADCAST = 100_000
@@ -236,6 +238,13 @@ def text_of(source: str | None, templates: frozenset[int] = frozenset()) -> str:
     return " ".join(t for t in texts if t) if articles else _blocks(root, gone, False)
 
 
+def page_key(root: Node) -> int:
+    """A hash of the text that tells different pages of a host from copies of one: of all articles or main, else of the body."""
+    texts = [_blocks(a, set(), True) for a in _articles(root)] or [_blocks(root, set(), False)]
+    h = hashlib.blake2b("\0".join(texts).encode("utf-8", "surrogatepass"), digest_size=8)
+    return int.from_bytes(h.digest(), "little", signed=True)
+
+
 def _blocks(root: Node, gone: set[int], in_article: bool) -> str:
     blocks: list[str] = []
     line: list[str] = []
@@ -278,17 +287,20 @@ def templates(pages: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in slices(batches):
-            hosts, found = [], []
+            hosts, found, keys = [], [], []
             for name, source in zip(batch.column("_host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                mine = list(hashes(parse(source)))
+                root = parse(source)
+                mine = [None, *hashes(root)]  # null stands for the page itself
                 hosts += [name] * len(mine)
                 found += mine
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["_host", "hash"])
+                keys += [page_key(root)] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(keys, pa.int64())], names=["_host", "hash", "page"])
 
     sited = pages.select(host().alias("_host"), "html").where("_host is not null and html is not null")
-    counts = sited.mapInArrow(run, "_host string, hash long").groupBy("_host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
-    sizes = sited.groupBy("_host").agg(F.count("*").alias("pages"))
-    return counts.join(sizes, "_host").where(F.col("n") >= F.col("pages") * SHARE).select("_host", "hash")
+    counts = sited.mapInArrow(run, "_host string, hash long, page long").groupBy("_host", "hash").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= LEAST)
+    counts = persisted(counts, "counts")
+    sizes = counts.where("hash is null").select("_host", F.col("n").alias("pages"))
+    return counts.where("hash is not null").join(sizes, "_host").where(F.col("n") >= F.col("pages") * SHARE).select("_host", "hash")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -59,6 +59,20 @@ def test_templates_are_deleted_and_prose_is_kept(spark):
         ht.extract(pages.withColumn("text", F.lit("")))
 
 
+def test_copies_of_a_page_are_no_templates(spark):
+    box = "<div class=x7>Read our <b>other</b> stories</div>"
+    copied = "<article><h1>T</h1><div><section>body of <i>it</i></section><ul><li>x</ul></div></article>"
+    article = [(i, f"http://a.example/{i}", (copied if i < 6 else f"<article><p>own {i}</p></article>") + box) for i in range(16)]
+    body = [(100 + i, f"http://b.example/{i}", f"<div><div>whole body</div></div>{box}" if i < 6 else f"<div>own {i}</div>{box}") for i in range(16)]
+    inside = [(200 + i, f"http://c.example/{i}", f"<article><div>story {i // 2}</div>{box}</article>") for i in range(12)]
+    all_same = [(300, "http://d.example/", copied)] * 20
+    pages = spark.createDataFrame(article + body + inside + all_same, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in ht.extract(pages).collect()}
+    assert all(got[i] == ("T body of it x" if i < 6 else f"own {i}") for i in range(16))
+    assert all(got[100 + i] == ("whole body" if i < 6 else f"own {i}") for i in range(16))
+    assert all(got[200 + i] == f"story {i // 2}" for i in range(12)) and got[300] == "T body of it x"
+
+
 def test_the_test_table(spark):
     got = ht.op8_html_text(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), ["page_id", "url"]).collect()
     assert len(got) == 250
