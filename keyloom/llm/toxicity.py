@@ -190,15 +190,23 @@ def _stance(text: str, start: int, end: int) -> float:
     return 1.0
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(text, toxic) of at most ``most`` labelled documents a class, chosen by a hash of their number.
+def usable(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of labels to learn from, each once: crc32 of the number as text leaves 0 or 2 on division by 3."""
+    some = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    some = some.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    return some.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id", "toxic"])
 
-    Only rows whose crc32 of the number as text leaves 0 or 2 on division by 3.
-    """
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    usable = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+
+def log_odds(docs: DataFrame, labels: DataFrame) -> float:
+    """The log ratio of toxic to clean documents among all that have a usable label."""
+    n = {r.toxic: r.n for r in docs.select("doc_id").join(usable(labels), "doc_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    return math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(text, toxic) of at most ``most`` documents a class with a usable label, chosen by a hash of their number."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = [usable.where(F.col("toxic") == k).dropDuplicates(["doc_id"]).orderBy(*order).limit(most) for k in (0, 1)]
+    some = [usable(labels).where(F.col("toxic") == k).orderBy(*order).limit(most) for k in (0, 1)]
     chosen = some[0].unionByName(some[1])  # at most 2 * most rows: small enough to broadcast
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
@@ -209,19 +217,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, hypotheses: int =
     A term is a word, and a stem a beginning of four to six letters that three
     words or more share, so frequent in toxic and so rare in clean documents of the
     sample that none of ``hypotheses`` words would be so by chance, and that stands
-    between as many different neighbours (words of one copied document don't). A
-    second round looks at the toxic documents that the first leaves unexplained.
+    between as many different neighbours (words of one copied document don't). The
+    prior comes from all usable labels, so the cap doesn't move it. A second round looks at the toxic documents that the first leaves unexplained.
     Counting is distributed; the driver gets candidate terms only.
     """
     sample = labelled(docs, labels, most)
-    model = Model(prior=-2.0)
+    model, prior = Model(prior=-2.0), None
     for _ in range(2):
         terms, clean, toxic, explained = _terms(sample, model, hypotheses)
         if not clean or not toxic + explained:
             return model
         merged = dict(zip(model.terms, model.weights, strict=True)) | terms
         names = tuple(sorted(merged))
-        model = Model(prior=math.log((toxic + explained + 1) / (clean + 1)), terms=names, weights=tuple(min(8.0, merged[n]) for n in names))
+        prior = log_odds(docs, labels) if prior is None else prior
+        model = Model(prior=prior, terms=names, weights=tuple(min(8.0, merged[n]) for n in names))
     return _with_misspellings(sample, model, clean, toxic + explained) if model.terms else model
 
 

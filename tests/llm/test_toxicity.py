@@ -1,5 +1,6 @@
 """The automaton against plain edit distance, learning on planted terms, edge cases."""
 
+import math
 import zlib
 
 from hypothesis import given, settings
@@ -64,6 +65,18 @@ def test_held_out_accuracy_and_misspelling(spark):
     assert score("they called him a zonkhead") < score("go away zonkhead")
 
 
+def test_a_lower_cap_leaves_prior_and_decisions(spark):
+    docs, labels, truth = planted(spark, 1500)
+    labels = labels.where("doc_id % 10 != 5")  # half of the toxic ones
+    whole, capped = toxicity.fit(docs, labels), toxicity.fit(docs, labels, most=250)
+    learnt = [t for i, t in truth if i % 10 != 5 and zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(learnt) - sum(learnt) > 500 and math.isclose(whole.prior, math.log((sum(learnt) + 1) / (len(learnt) - sum(learnt) + 1)))
+    texts = ["go away zonkhead", 'he wrote "zonkhead" here', "you zonkheed of rain", "you grumpfwxtt of rain", "they called him a zonkheed", "you of rain"]
+    a, b = whole.scorer(), capped.scorer()
+    assert [a(t) >= toxicity.THRESHOLD for t in texts] == [b(t) >= toxicity.THRESHOLD for t in texts] == [True, *[False] * 5]
+    assert whole.prior == capped.prior
+
+
 def test_edge_cases(spark):
     docs, labels, _ = planted(spark, 200)
     odd = spark.createDataFrame([(None, None, "a"), (1, "", "b"), (1, "", "b"), (2, "x" * 500_000, None)], "doc_id long, text string, label string")
