@@ -4,7 +4,8 @@
 deals pieces at random into groups of bounded size, and each group is packed on
 its own: best fit in decreasing order, then moves, one-for-one and two-for-one
 exchanges between underfull sequences, each of which increases the sum of squared
-fills, until light sequences empty or no exchange helps.
+fills, from the lightest sequence on, until the bound is met or no exchange helps.
+Sequences are indexed by room and by the lengths they hold, so an exchange scans none.
 
 Edge cases: a null text is an empty one, whose only token is the end id; repeated
 rows are separate documents; a document of any length is cut into as many pieces
@@ -14,6 +15,7 @@ as it needs; an empty table gives no pieces. ``pieces`` reads ``doc_id`` and
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -90,60 +92,149 @@ class Bins:
                 open_[room].append(b)
                 some |= 1 << room
 
-    def search(self, patience: int = 8, steps: int = 500) -> None:
-        """Empties light bins; ends at the lower bound, after ``patience`` bins in a row that no exchange improves, or after ``steps`` exchanges."""
+    def search(self) -> None:
+        """Empties light bins, lightest first; ends at the lower bound, or when no exchange out of any bin helps."""
         least = math.ceil(int(self.lengths.sum()) / self.capacity)
-        stuck: set[int] = set()
         alive = sum(1 for b in self.bins if b)
-        while alive > least and len(stuck) < patience and steps > 0:
-            steps -= 1
-            light = min((b for b in range(len(self.bins)) if self.bins[b] and self.free[b] and b not in stuck), key=lambda b: (-self.free[b], b), default=None)
-            if light is None:
-                break
-            if not self._improve(light):
-                stuck.add(light)
-            else:
-                alive -= not self.bins[light]
-                stuck.clear()
-
-    def _improve(self, d: int) -> bool:
-        """The exchange out of bin ``d`` that moves most tokens to a bin at least as full; whether there was one."""
-        mine = self.bins[d]
-        others = [b for b in range(len(self.bins)) if b != d and self.bins[b] and 0 < self.free[b] <= self.free[d]]
-        if not others:
-            return False
-        # What may come back: nothing, one piece or two pieces of the same bin.
-        back: list[tuple[int, tuple[int, ...]]] = []
-        for b in others:
-            own = self.bins[b]
-            back.append((b, ()))
-            back += [(b, (q,)) for q in own]
-            if len(own) <= 16:
-                back += [(b, (q, r)) for k, q in enumerate(own) for r in own[k + 1 :]]
-        size = np.array([sum(int(self.lengths[q]) for q in qs) for _, qs in back])
-        room = np.array([self.free[b] for b, _ in back])
-        plain = np.array([len(qs) < 2 for _, qs in back])
-        best: tuple[int, tuple[int, ...], int] = (0, (), -1)
-        singles = list(dict.fromkeys((int(self.lengths[p]), (p,)) for p in mine))
-        doubles = [(int(self.lengths[p] + self.lengths[q]), (p, q)) for k, p in enumerate(mine[:32]) for q in mine[k + 1 : 32]]
-        for total, gone in singles + doubles:
-            gain = total - size
-            ok = (gain > 0) & (gain <= room)
-            if len(gone) == 2:
-                ok &= plain
-            if ok.any():
-                k = int(np.argmax(np.where(ok, gain, 0)))
-                if int(gain[k]) > best[0]:
-                    best = (int(gain[k]), gone, k)
-        if not best[0]:
-            return False
-        gain, gone, k = best
-        b, came = back[k]
-        self.bins[d] = [p for p in mine if p not in gone] + list(came)
-        self.bins[b] = [p for p in self.bins[b] if p not in came] + list(gone)
+        if alive <= least:
+            return
+        self.rooms: dict[int, _Room] = {}
+        for b, own in enumerate(self.bins):
+            if own and self.free[b]:
+                self._enter(b)
+        some = True
+        while some and alive > least:
+            some = False
+            # Bins to try, by room; an exchange puts both of its bins back.
+            todo: dict[int, dict[int, None]] = {r: dict.fromkeys(room.bins) for r, room in self.rooms.items()}
+            heap = [-r for r in todo]
+            heapq.heapify(heap)
+            while heap and alive > least:
+                r = -heap[0]
+                if not todo.get(r):
+                    heapq.heappop(heap)
+                    continue
+                d = next(iter(todo[r]))
+                del todo[r][d]
+                if not self.bins[d] or self.free[d] != r:
+                    continue
+                b = self._improve(d)
+                if b is None:
+                    continue
+                some = True
+                alive -= not self.bins[d]
+                for x in (d, b):
+                    if self.bins[x] and self.free[x]:
+                        if not todo.get(self.free[x]):
+                            heapq.heappush(heap, -self.free[x])
+                        todo.setdefault(self.free[x], {})[x] = None
+        del self.rooms
+
+    def _sums(self, b: int) -> tuple[dict[int, tuple[int, ...]], dict[int, tuple[int, ...]]]:
+        """Lengths of single pieces of a bin, and of pairs, each with the pieces of one such choice."""
+        by: dict[int, list[int]] = {}
+        for p in self.bins[b]:
+            by.setdefault(int(self.lengths[p]), []).append(p)
+        singles = {n: (own[0],) for n, own in by.items()}
+        sizes = list(by)
+        pairs = {2 * n: (own[0], own[1]) for n, own in by.items() if len(own) > 1}
+        for k, n in enumerate(sizes):
+            for m in sizes[k + 1 :]:
+                pairs[n + m] = (by[n][0], by[m][0])
+        return singles, pairs
+
+    def _enter(self, b: int) -> None:
+        if self.free[b] not in self.rooms:
+            self.rooms[self.free[b]] = _Room()
+        self.rooms[self.free[b]].add(b, *self._sums(b))
+
+    def _leave(self, b: int) -> None:
+        room = self.rooms[self.free[b]]
+        room.drop(b, *self._sums(b))
+        if not room.bins:
+            del self.rooms[self.free[b]]
+
+    def _improve(self, d: int) -> int | None:
+        """Makes the exchange out of bin ``d`` that moves most tokens to a bin at least as full; that bin, if there is one."""
+        self._leave(d)
+        singles, pairs = self._sums(d)
+        ways = ((singles, sum(1 << n for n in singles)), (pairs, sum(1 << n for n in pairs)))
+        gain, best = 0, None
+        for r in sorted((r for r in self.rooms if r <= self.free[d]), reverse=True):
+            if r <= gain:
+                break  # no exchange moves more than the room
+            room = self.rooms[r]
+            # What comes back: nothing, a piece, or (for one piece) two pieces of the same bin.
+            for gone, (some, bits) in enumerate(ways):
+                came = 1 | room.ones | (0 if gone else room.twos)
+                found = _most(some, bits, came, gain, r)
+                if found:
+                    gain, best = found, (r, gone, bits & came << found)
+        if best is None:
+            self._enter(d)
+            return None
+        r, gone, common = best
+        total = (common & -common).bit_length() - 1
+        room, size = self.rooms[r], total - gain
+        b = next(iter(room.bins if not size else room.one.get(size) or room.two[size]))
+        own = self._sums(b)
+        back = () if not size else own[0].get(size) or own[1][size]
+        self._leave(b)
+        away = ways[gone][0][total]
+        self.bins[d] = [p for p in self.bins[d] if p not in away] + list(back)
+        self.bins[b] = [p for p in self.bins[b] if p not in back] + list(away)
         self.free[d] += gain
         self.free[b] -= gain
-        return True
+        for x in (d, b):
+            if self.bins[x] and self.free[x]:
+                self._enter(x)
+        return b
+
+
+class _Room:
+    """The bins with one amount of room, and which of them hold a piece, or two, of some length together."""
+
+    def __init__(self):
+        self.bins: dict[int, None] = {}
+        self.one: dict[int, dict[int, None]] = {}
+        self.two: dict[int, dict[int, None]] = {}
+        self.ones = self.twos = 0  # bit n: length n occurs
+
+    def add(self, b: int, singles, pairs) -> None:
+        self.bins[b] = None
+        for n in singles:
+            self.one.setdefault(n, {})[b] = None
+            self.ones |= 1 << n
+        for n in pairs:
+            self.two.setdefault(n, {})[b] = None
+            self.twos |= 1 << n
+
+    def drop(self, b: int, singles, pairs) -> None:
+        del self.bins[b]
+        for n in singles:
+            del self.one[n][b]
+            if not self.one[n]:
+                del self.one[n]
+                self.ones ^= 1 << n
+        for n in pairs:
+            del self.two[n][b]
+            if not self.two[n]:
+                del self.two[n]
+                self.twos ^= 1 << n
+
+
+def _most(some, bits: int, came: int, least: int, most: int) -> int:
+    """The greatest difference over ``least``, at most ``most``, of a length in ``some`` (``bits``) and one in ``came``; or 0."""
+    if len(some) > most - least:
+        return next((g for g in range(most, least, -1) if bits & came << g), 0)
+    best = least
+    for total in some:
+        if total > best:
+            low = max(0, total - most)
+            fits = came >> low
+            if fits and (g := total - low - (fits & -fits).bit_length() + 1) > best:
+                best = g
+    return best if best > least else 0
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:

@@ -62,6 +62,21 @@ def test_large_random_lengths_reach_the_bound():
     assert sum(map(bool, bins.bins)) <= 1.01 * math.ceil(lengths.sum() / 2048)
 
 
+def test_search_saves_the_same_share_in_large_groups():
+    shares = []
+    for n in (1500, 8000):
+        lengths = np.random.RandomState(3).randint(600, 901, n)
+        bins = packing.Bins(lengths)
+        bins.best_fit()
+        before = len(bins.bins)
+        bins.search()
+        used = [b for b in bins.bins if b]
+        assert sorted(i for b in used for i in b) == list(range(n))
+        assert all(lengths[b].sum() == 2048 - f for b, f in zip(bins.bins, bins.free, strict=True) if b)
+        shares.append(1 - len(used) / before)
+    assert shares[1] > 0.85 * shares[0] > 0.02
+
+
 def test_cut():
     assert packing.cut(5, 4) == [(0, 1), (1, 4)] and packing.cut(8, 4) == [(0, 4), (4, 4)] and packing.cut(3, 4) == [(0, 3)]
 
