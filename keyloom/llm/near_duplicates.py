@@ -15,7 +15,7 @@ are linked. Equal texts form a class and take part once. The steps:
 
 Buckets and components beyond a size are dealt as pairs of chunks, so that no task
 holds more than two chunks and every pair still meets. The tolerance and the bands
-together lose fewer than one in a thousand links at the threshold itself, and
+together lose about one in 200,000 links at the threshold itself at most, and
 practically none above it; step 3 also finds links that step 2 missed within a component.
 
 Edge cases: a text of one to four words is one shingle; texts without words, null
@@ -40,7 +40,8 @@ from ._shared import persisted, slices, without
 WORDS = 5
 #: The threshold as a fraction, so that verification is exact.
 THRESHOLD = (4, 5)
-BANDS, ROWS = 24, 6
+#: So many bands that a pair at the threshold shares none with a probability below the tolerance: (1 - 0.8^5)^35.
+BANDS, ROWS = 35, 5
 #: Numbers of MinHash values after which a pair may be dropped, and the tolerance.
 LOOKS, TOLERANCE = (24, 48, 96, BANDS * ROWS), 1e-6
 #: Members of a bucket, and shingles of a component, that make a chunk.

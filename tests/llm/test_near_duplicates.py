@@ -106,3 +106,11 @@ def test_components(spark):
             label[u] = label[v] = min(label[u], label[v])
     got = {r.node: r.component for r in nd.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: c for x, c in label.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_bands_lose_no_more_than_the_tolerance():
+    assert (1 - (nd.THRESHOLD[0] / nd.THRESHOLD[1]) ** nd.ROWS) ** nd.BANDS <= nd.TOLERANCE
+    rng = np.random.RandomState(11)
+    a = rng.randint(0, 2**32, (20_000, nd.BANDS * nd.ROWS), np.uint64).astype(np.uint32)
+    b = np.where(rng.rand(*a.shape) < 0.8, a, a + np.uint32(1))
+    assert all((nd._bands(x) == nd._bands(y)).any() for x, y in zip(a, b, strict=True))
