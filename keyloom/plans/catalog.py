@@ -535,7 +535,7 @@ def probe_exponential(spark, d):
 
 @query()
 def probe_ranges(spark, d):
-    return G.range_queries(r(spark, d), 1000)
+    return G.range_queries(r(spark, d), _n(spark, d))
 
 
 # Reports: each supplier and part stands for a benchmark, a line for a run of it.

@@ -24,3 +24,8 @@ def test_entry_points(spark):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_others_give_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_range_workload_grows_with_orders(spark):
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        assert catalog.QUERIES["probe_ranges"](spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count()
