@@ -65,7 +65,36 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables.append((spark, path))
+    out._table_path = path
+    return out
+
+
+#: Tables made by ``persisted`` and not yet dropped, oldest first.
+_tables: list[tuple[SparkSession, str]] = []
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables made by ``persisted`` that nothing will read again; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_table_path", None)
+        for entry in [t for t in _tables if t[1] == path]:
+            _tables.remove(entry)
+            _remove(*entry)
+
+
+def made() -> int:
+    """A mark for ``swept``: tables made from now on come after it."""
+    return len(_tables)
+
+
+def swept(mark: int, *kept: DataFrame) -> None:
+    """Deletes the tables made since ``mark`` but for ``kept``; whatever reads the others must have run."""
+    keep = {getattr(df, "_table_path", None) for df in kept}
+    for entry in [t for t in _tables[mark:] if t[1] not in keep]:
+        _tables.remove(entry)
+        _remove(*entry)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -118,16 +147,19 @@ class WordEncoder:
     stays inside pieces. Arrow numbers the distinct pieces of a batch, so Python
     meets each once; those met lately are kept in two generations, so that
     frequent ones stay.
+
+    A special token spelt out in a text gets its id, as the library does by itself;
+    ``literal`` encodes its characters like any others.
     """
 
-    def __init__(self, path: str, dtype: str = "<u4", most: int = REMEMBER):
+    def __init__(self, path: str, dtype: str = "<u4", most: int = REMEMBER, literal: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = literal
         self._dtype, self._code = dtype, {"<u2": "H", "<u4": "I"}[dtype]
         self._most = most
         self._known: dict[bytes, bytes] = {}
@@ -222,9 +254,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, dtype: str, most: int = REMEMBER) -> WordEncoder:
+def encoder(path: str, dtype: str, most: int = REMEMBER, literal: bool = False) -> WordEncoder:
     """The encoder of this process: pieces met in one task are known in the next."""
-    return WordEncoder(path, dtype, most)
+    return WordEncoder(path, dtype, most, literal)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

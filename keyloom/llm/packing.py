@@ -41,6 +41,7 @@ def cut(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, remember: int = REMEMBER) -> DataFrame:
     """(doc_id, piece, start, length, ids) of every document; ids as unsigned 32-bit binary.
 
+    A special token spelt out in a text is encoded to its id, as the library does by itself.
     ``remember`` bounds the encoded pieces that a Python process keeps, memory against time.
     """
     end = int(end_id).to_bytes(4, "little")

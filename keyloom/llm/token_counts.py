@@ -22,7 +22,7 @@ from ._files import created, listed, read_range
 from ._shared import encoder as encoder_of
 from ._shared import new_path, persisted, slices, spread, tokenizer_path
 
-#: The end-of-document id of the vocabulary; ordinary text never encodes to it.
+#: The end-of-document id of the vocabulary; texts are encoded literally, so none holds it.
 END_ID = 50256
 
 
@@ -38,7 +38,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, widt
         from pyspark import TaskContext
 
         name = f"{path}/part-{TaskContext.get().partitionId():06d}.ids"
-        encoder, place, numbers = encoder_of(tokenizer, f"<u{width}"), 0, []
+        encoder, place, numbers = encoder_of(tokenizer, f"<u{width}", literal=True), 0, []
         with created(name) as out:
             for batch in slices(batches, encodes=True):
                 for ids in encoder.encode([t or "" for t in batch.column("text").to_pylist()]):

@@ -3,8 +3,9 @@
 A shard holds the ids of its documents in one array, and two monotone sequences
 as Elias-Fano codes: the ends of the documents in that array, and the document
 numbers. ``Sequence.select(i)`` finds the i-th value from sampled positions of the
-upper bits, so offsets need about two bits a document more than the information
-they hold, and no table of 64-bit offsets.
+upper bits, ``selected`` a stretch of values, so offsets need about two bits a
+document more than the information they hold, and no table of 64-bit offsets. Reading
+selects the bounds of the documents that are wanted; no sequence is decoded whole.
 
 Shard file, all numbers little-endian: magic ``KLEF0001``; unsigned 64-bit: ids,
 documents, documents without a number, bytes an id takes, the first number
@@ -15,7 +16,8 @@ every 256th set upper bit. Each part is padded to 8 bytes.
 Edge cases: a null text is an empty one, so its document is the end id alone; a
 null document number sorts first and comes back as null; equal numbers stay
 separate documents, in order of a hash of their text; an empty table gives no
-shard and no rows. Texts are encoded whole, whatever their length. Other input
+shard and no rows. Texts are encoded whole, whatever their length; a special token
+spelt out in a text becomes its id, as the library does by itself. Other input
 columns are ignored.
 """
 
@@ -101,29 +103,26 @@ class Sequence:
             at += length + -length % 8
         return cls(count, most, bits, *parts), at
 
-    def values(self) -> np.ndarray:
-        """The whole sequence."""
-        upper = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count] - np.arange(self.count)
-        return (upper.astype(np.uint64) << np.uint64(self.bits)) | _unpack(self.low, self.bits, 0, self.count)
-
     def select(self, i: int) -> int:
-        """The i-th value: from the sample before it, past set bits counted byte by byte."""
-        if not 0 <= i < self.count:
-            raise IndexError(i)
-        left, start = i % EVERY, int(self.samples[i // EVERY])
-        byte, skip = start // 8, start % 8
-        while True:
-            piece = self.high[byte : byte + 64].copy()
-            piece[0] &= 0xFF << skip & 0xFF
-            upto = np.cumsum(np.bitwise_count(piece))
-            if upto[-1] > left:
-                k = int(np.searchsorted(upto, left, side="right"))
-                left -= int(upto[k - 1]) if k else 0
-                bit = np.flatnonzero(np.unpackbits(piece[k : k + 1], bitorder="little"))[left]
-                upper = (byte + k) * 8 + int(bit) - i
-                return upper << self.bits | int(_unpack(self.low, self.bits, i, 1)[0])
-            left -= int(upto[-1])
-            byte, skip = byte + 64, 0
+        """The i-th value."""
+        return int(self.selected(i, 1)[0])
+
+    def selected(self, first: int, count: int) -> np.ndarray:
+        """``count`` values from the ``first``-th on, found from the sampled bits around them; no other is decoded.
+
+        The upper bits between the sample at or before the first value and the sample
+        after the last hold all that is wanted; set bits before the first are skipped.
+        """
+        if not 0 <= first <= first + count <= self.count:
+            raise IndexError(first)
+        if not count:
+            return np.empty(0, np.uint64)
+        start, after = int(self.samples[first // EVERY]), (first + count - 1) // EVERY + 1
+        stop = int(self.samples[after]) if after < len(self.samples) else len(self.high) * 8
+        bits = np.unpackbits(self.high[start // 8 : -(-stop // 8)], bitorder="little")[start % 8 :]
+        place = np.flatnonzero(bits)[first % EVERY :][:count] + start
+        upper = place - np.arange(first, first + count)
+        return (upper.astype(np.uint64) << np.uint64(self.bits)) | _unpack(self.low, self.bits, first, count)
 
 
 def shard_bytes(numbers: list[int | None], encoded: list[bytes], width: int) -> bytes:
@@ -150,11 +149,20 @@ class Shard:
         self._numbers, _ = Sequence.from_bytes(view, at)
 
     def document(self, i: int) -> np.ndarray:
-        start = self.ends.select(i - 1) if i else 0
-        return self.ids[start : self.ends.select(i)]
+        start, end = self.bounds(i, 1).tolist()
+        return self.ids[start:end]
+
+    def bounds(self, first: int, count: int) -> np.ndarray:
+        """Where ``count`` documents from the ``first``-th on begin, and where the last of them ends."""
+        before = int(first > 0)
+        found = self.ends.selected(first - before, count + before).astype(np.int64)
+        return found if before else np.concatenate([[0], found])
 
-    def numbers(self) -> list[int | None]:
-        return [None] * self._nulls + [self._first + int(g) for g in self._numbers.values()]
+    def numbers(self, first: int, count: int) -> list[int | None]:
+        """The numbers of ``count`` documents from the ``first``-th on."""
+        nulls = min(count, max(0, self._nulls - first))
+        known = self._numbers.selected(first + nulls - self._nulls, count - nulls) if count > nulls else ()
+        return [None] * nulls + [self._first + int(g) for g in known]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, width: int = 2, shard_ids: int = 4_000_000) -> DataFrame:
@@ -217,12 +225,11 @@ def read(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(read_all(path))
-                ends, numbers = shard.ends.values().astype(np.int64), shard.numbers()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 for at in range(0, shard.n_docs, 2000):
-                    some = slice(at, at + 2000)
-                    ids = [shard.ids[a:b].astype("<u4").tobytes() for a, b in zip(starts[some], ends[some], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers[some], pa.int64()), pa.array(starts[some] + start, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
+                    count = min(2000, shard.n_docs - at)
+                    bounds = shard.bounds(at, count)
+                    ids = [shard.ids[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.numbers(at, count), pa.int64()), pa.array(bounds[:-1] + start, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
 
     return todo.mapInArrow(run, "doc_id long, start long, ids binary")
 

@@ -85,7 +85,7 @@ def test_documents(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    rows = [(i, "some words here " * (i * 37 % 90), "x") for i in range(120)] + [(None, None, None), (5, "", "y"), (5, "", "y"), (6, "long text of words " * 3000, "z")]
+    rows = [(i, "some words here " * (i * 37 % 90), "x") for i in range(120)] + [(None, None, None), (5, "", "y"), (5, "", "y"), (6, "long text of words " * 3000, "z"), (7, "one <|endoftext|> two", "w")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length string")
     got = packing.packed(docs).collect()
     want = []

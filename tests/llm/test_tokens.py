@@ -12,20 +12,34 @@ from keyloom.llm import _files, token_counts, token_output
 from keyloom.llm._shared import WordEncoder, tokenizer_path
 
 
-@pytest.fixture(scope="module")
-def plain():
+def library(literal):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
+    t.encode_special_tokens = literal
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.lists(st.text(alphabet="ab 's\n\t.é1  \x1c<|endoftext|>", max_size=30), max_size=4))
-def test_pieces_encode_like_whole_texts(plain, texts):
-    got = WordEncoder(tokenizer_path(), most=30).encode(texts)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain(t) for t in texts]
+@pytest.fixture(scope="module")
+def plain():
+    return library(False)
+
+
+@pytest.fixture(scope="module")
+def spelt():
+    return library(True)
+
+
+ENCODERS = [WordEncoder(tokenizer_path(), most=30, literal=x) for x in (False, True)]
+SPECIAL = st.lists(st.sampled_from(["<|endoftext|>", " ", "\n", "a", "b.", "\u00a0", "<|", "'s"]), max_size=12).map("".join)
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.text(alphabet="ab 's\n\t.é1  \x1c<|endoftext|>", max_size=30) | SPECIAL, max_size=4))
+def test_pieces_encode_like_whole_texts(plain, spelt, texts):
+    for encoder, want in ((ENCODERS[0], plain), (ENCODERS[1], spelt)):
+        got = encoder.encode(texts)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [want(t) for t in texts]
 
 
 @settings(max_examples=300, deadline=None)
@@ -34,8 +48,13 @@ def test_elias_fano(values):
     values = sorted(values)
     data = token_output.Sequence.of(np.array(values, np.uint64)).to_bytes()
     seq, end = token_output.Sequence.from_bytes(memoryview(data), 0)
-    assert end == len(data) and seq.values().tolist() == values
+    assert end == len(data) and seq.selected(0, len(values)).tolist() == values
     assert [seq.select(i) for i in range(0, len(values), 7)] == values[::7]
+    for a in range(0, len(values), 97):
+        for n in (0, 1, 255, 256, 300):
+            assert seq.selected(a, min(n, len(values) - a)).tolist() == values[a : a + n]
+    with pytest.raises(IndexError):
+        seq.selected(0, len(values) + 1)
 
 
 def test_elias_fano_is_small():
@@ -65,7 +84,9 @@ def test_output_round_trip(spark, tmp_path, plain):
     assert sorted((r.doc_id is not None, r.doc_id or 0, zlib.crc32(r.ids)) for r in got) == want
     again = token_output.read(token_output.shards_below(spark, f"file://{tmp_path}/klef")).orderBy("start").collect()
     assert again == got
+    assert any(50256 in np.frombuffer(r.ids, "<u4") for r in got)
     shard = token_output.Shard(_files.read_all(shards.orderBy("part", "seq").first().path))
+    assert shard.numbers(0, shard.n_docs)[:2] == [None, -7] and shard.numbers(1, 1) == [-7]
     assert shard.document(0).tolist() == np.frombuffer(got[0].ids, "<u4").tolist()
     assert token_output.read(token_output.write(docs.limit(0), f"file://{tmp_path}/none", tokenizer_path())).count() == 0
 
@@ -88,9 +109,9 @@ def test_counts_across_blocks(spark, tmp_path, block):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_counts_of_documents(spark, tmp_path, plain):
+def test_counts_of_documents(spark, tmp_path, spelt):
     docs = docs_of(spark)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = token_counts.op4_token_counts(spark, str(tmp_path)).collect()
     key = lambda x: (x[0] is not None, x[0] or 0, x[1])
-    assert sorted([(r.doc_id, r.n_tokens) for r in got], key=key) == sorted([(r.doc_id, len(plain(r.text or ""))) for r in docs.collect()], key=key)
+    assert sorted([(r.doc_id, r.n_tokens) for r in got], key=key) == sorted([(r.doc_id, len(spelt(r.text or ""))) for r in docs.collect()], key=key)
