@@ -6,7 +6,13 @@ pages of their host are deleted. Pages are different if the texts of their artic
 are (of their bodies, without article or main element), so copies count as one page
 and the containers of a copied article are no templates. Then elements go whose kind, class or role marks menus,
 headers, footers, sidebars, notices, adverts, forms, scripts and comments, and the
-text of the article is read off, block by block.
+text of the article is read off, block by block; of several articles, or main
+elements, all are read in page order.
+
+A class or id is such a mark as a whole name: it consists of words for those parts,
+and of words that say nothing, such as ``ad-box`` or ``site-footer``, but not
+``has-sidebar`` or ``comments-open``. If a page marks no article, an element whose
+name is a mark, other than of comments, stays if it holds nearly all text of the page.
 
 Inside an element that the page itself marks as its article, prose (paragraphs,
 headings, list items, quotes) is never taken for a template, as copies of one article
@@ -16,7 +22,7 @@ Edge cases: a null or empty page has an empty text; a null url, or one without a
 host, belongs to no site, so nothing of it is a template; hosts with fewer than
 ``LEAST`` different pages have none; repeated rows count as one page; broken markup is read as far
 as it goes; nesting of any depth and pages of any length are read whole. ``extract``
-keeps other columns and refuses a clash with ``text``, ``n_chars`` and ``_host``.
+keeps other columns and refuses a clash with ``text``, ``n_chars``, ``_host``, ``_templates`` and ``_salt``.
 """
 
 from __future__ import annotations
@@ -35,6 +41,8 @@ from ._shared import persisted, slices, without
 LEAST, SHARE = 5, 0.3
 #: Hashes of templates that are looked up by broadcast (under 100 bytes each); beyond, hosts are joined.
 BROADCAST = 100_000
+#: Parts that the pages of a host are dealt to in that join.
+SALTS = 64
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noframes".split())
@@ -52,6 +60,14 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 MARKS = frozenset(
     "nav navbar navigation menu menubar sidebar footer masthead breadcrumb breadcrumbs ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal newsletter subscribe subscription comment comments disqus respond share sharing social related recommended widget pagination pager skip login signup".split()
 )
+#: Marks of reader comments, which go however long they are.
+COMMENTS = frozenset("comment comments disqus respond".split())
+#: Words that say nothing about a part of a page beside a mark.
+PLAIN = frozenset(
+    "area article aside bar block blocks bottom box button buttons col column container content form global group head heading icons inner item items left link links list main module outer page panel post posts primary region right row secondary section site slot stories story text title top unit wrap wrapper".split()
+)
+#: Share of the text that an element must hold to stay despite its name.
+HOLDS = 0.9
 _TAG = re.compile(r"<([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?+")
 _TOKEN = re.compile(r"[a-z]+")
@@ -148,8 +164,19 @@ def parse(source: str) -> Node:
     return root
 
 
-def _marked(node: Node) -> bool:
-    """Whether kind, class or role say that an element isn't part of an article."""
+def _named(node: Node) -> frozenset[str]:
+    """The marks in the class and id of an element, of names that are marks as a whole."""
+    found: set[str] = set()
+    for key in ("class", "id"):
+        for name in node.attrs.get(key, "").split():
+            parts = set(_TOKEN.findall(name))
+            if parts & MARKS and parts <= MARKS | PLAIN:
+                found |= parts & MARKS
+    return frozenset(found)
+
+
+def _marked(node: Node, spared: frozenset[int] = frozenset()) -> bool:
+    """Whether kind, class or role say that an element isn't part of an article; ``spared`` stay despite their names."""
     if node.tag in DROP:
         return True
     a = node.attrs
@@ -157,7 +184,27 @@ def _marked(node: Node) -> bool:
         return False
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in ROLES or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
-    return any(t in MARKS for key in ("class", "id") if key in a for t in _TOKEN.findall(a[key]))
+    return id(node) not in spared and bool(_named(node))
+
+
+def _spared(root: Node) -> frozenset[int]:
+    """Elements with a mark for a name, but not of comments, that hold nearly all text outside other marked elements."""
+    held: list[int] = [0]
+    named: list[tuple[int, int]] = []
+    skip = 0
+    for node, enter in _walk(root):
+        marks = _named(node) if node.attrs else frozenset()
+        gone = bool(marks & COMMENTS) or node.tag == "header" or _marked(node, frozenset((id(node),)))
+        if enter:
+            skip += gone
+            held.append(0 if skip else sum(len(c) for t in node.children if isinstance(t, str) for c in t.split()))
+        else:
+            skip -= gone
+            own = held.pop()
+            held[-1] += own
+            if marks and not gone:
+                named.append((id(node), own))
+    return frozenset(n for n, own in named if own and own >= held[0] * HOLDS)
 
 
 def _walk(root: Node):
@@ -171,31 +218,42 @@ def _walk(root: Node):
             stack.extend((c, True) for c in reversed(node.children) if isinstance(c, Node))
 
 
-def _articles(root: Node) -> list[Node]:
-    """The outermost elements that the page marks as its article, outside marked elements; or its main element."""
+def _outermost(root: Node, spared: frozenset[int]) -> list[Node]:
     found: dict[str, list[Node]] = {"article": [], "main": []}
-    skip, inside = 0, 0
+    skip, inside, in_main = 0, 0, 0
     for node, enter in _walk(root):
-        drop = _marked(node) or (node.tag == "header" and not inside)
+        drop = _marked(node, spared) or (node.tag == "header" and not inside)
         article = node.tag == "article" or node.attrs.get("itemprop") == "articlebody"
+        main = node.tag == "main" or node.attrs.get("role") == "main"
         if enter:
             if not skip and not drop:
                 if article and not inside:
                     found["article"].append(node)
-                if node.tag == "main" or node.attrs.get("role") == "main":
+                if main and not in_main:
                     found["main"].append(node)
             skip += drop
             inside += article
+            in_main += main
         else:
             skip -= drop
             inside -= article
-    return found["article"] or found["main"][:1]
+            in_main -= main
+    return found["article"] or found["main"]
+
+
+def _articles(root: Node) -> tuple[list[Node], frozenset[int]]:
+    """The outermost elements that the page marks as its article, outside marked elements, or its main elements; and the spared elements."""
+    found = _outermost(root, frozenset())
+    if found:
+        return found, frozenset()
+    spared = _spared(root)
+    return (_outermost(root, spared) if spared else []), spared
 
 
 def hashes(root: Node) -> dict[int, list[Node]]:
     """Hashes of the subtrees that may be templates, each with its elements."""
     prose = set()
-    for article in _articles(root):
+    for article in _articles(root)[0]:
         prose.update(id(n) for n, enter in _walk(article) if enter and (n.tag in PROSE or n is article))
     digests: dict[int, bytes] = {}
     out: dict[int, list[Node]] = {}
@@ -228,24 +286,20 @@ def text_of(source: str | None, templates: frozenset[int] = frozenset()) -> str:
         gone = {id(n) for h, nodes in hashes(root).items() if h in templates for n in nodes}
     else:
         gone = set()
-    articles = _articles(root)
-    articles = [a for a in articles if id(a) not in gone]
-    texts = [_blocks(a, gone, True) for a in articles]
-    if len(texts) > 1:  # one article among teasers of others, or a page of several
-        most = max(texts, key=len)
-        if len(most) * 2 > sum(map(len, texts)):
-            texts = [most]
-    return " ".join(t for t in texts if t) if articles else _blocks(root, gone, False)
+    articles, spared = _articles(root)
+    texts = [_blocks(a, gone, True, spared) for a in articles] or [_blocks(root, gone, False, spared)]
+    return " ".join(t for t in texts if t)
 
 
 def page_key(root: Node) -> int:
     """A hash of the text that tells different pages of a host from copies of one: of all articles or main, else of the body."""
-    texts = [_blocks(a, set(), True) for a in _articles(root)] or [_blocks(root, set(), False)]
+    articles, spared = _articles(root)
+    texts = [_blocks(a, set(), True, spared) for a in articles] or [_blocks(root, set(), False, spared)]
     h = hashlib.blake2b("\0".join(texts).encode("utf-8", "surrogatepass"), digest_size=8)
     return int.from_bytes(h.digest(), "little", signed=True)
 
 
-def _blocks(root: Node, gone: set[int], in_article: bool) -> str:
+def _blocks(root: Node, gone: set[int], in_article: bool, spared: frozenset[int]) -> str:
     blocks: list[str] = []
     line: list[str] = []
 
@@ -262,7 +316,7 @@ def _blocks(root: Node, gone: set[int], in_article: bool) -> str:
             line.append(x)
         elif x is None:
             end()
-        elif id(x) in gone or (x is not root and (_marked(x) or (x.tag == "header" and not in_article))):
+        elif id(x) in gone or (x is not root and (_marked(x, spared) or (x.tag == "header" and not in_article))):
             if x.tag in BLOCK:
                 end()
         else:
@@ -305,12 +359,17 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` with ``text``, the main text, and ``n_chars``, its length in code points."""
-    without(pages, "text", "n_chars", "_host", "_templates")
+    without(pages, "text", "n_chars", "_host", "_templates", "_salt")
     found = persisted(templates(pages), "templates")
     # A host has fewer templates than its mean page has subtrees, over SHARE: its list is bounded.
     lists = found.groupBy("_host").agg(F.collect_list("hash").alias("_templates"))
     sited = pages.withColumn("_host", host())
-    joined = sited.join(F.broadcast(lists) if found.count() <= BROADCAST else lists, "_host", "left").select(*pages.columns, "_templates")
+    if found.count() <= BROADCAST:
+        joined = sited.join(F.broadcast(lists), "_host", "left")
+    else:  # a host with a third of all pages is dealt to SALTS tasks
+        salted = sited.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)))
+        joined = salted.join(lists.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["_host", "_salt"], "left")
+    joined = joined.select(*pages.columns, "_templates")
     names = pages.columns
     schema = T.StructType([*pages.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 

@@ -18,7 +18,16 @@ from keyloom.llm import html_text as ht
         ("<div>one</div><script>var a='</p>';</script><style>p{}</style><!-- <p>no</p> --><div>two &nbsp; 2</div>", "one two 2"),
         ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a b c d"),
         ("<article>a</article><article class=comment>b</article><div class='comments'><article>c</article></div>", "a"),
-        ("<article>long story here</article><article>x</article>", "long story here"),
+        ("<article>long story here</article><article>x</article>", "long story here x"),
+        ("<main>a<main>b</main></main><div role=main>c</div>", "a b c"),
+        ('<div class="content has-sidebar"><p>whole story</p></div><div class=sidebar>s</div>', "whole story"),
+        ('<article class="post comments-open"><p>a</p><div class="post-comments">c</div><div class="comment-list">d</div></article>', "a"),
+        ('<article id="promotion-of-science">a</article>', "a"),
+        ('<div class="ad-content widget-2"><h1>T</h1><p>the whole article is in here, with all of its words</p></div><p>x</p>', "T the whole article is in here, with all of its words x"),
+        ('<div class="widget"><article>all</article></div>', "all"),
+        ('<div class="comments"><p>comments of readers that are far longer than the page</p></div><p>x</p>', "x"),
+        ("<article></article><div class=ad>buy this</div>", ""),
+        ('<div class="cookie-notice">we use</div><div class="site_footer">f</div><div id="top-nav">n</div><p>text of the page itself</p>', "text of the page itself"),
         ("<p title='a>b'>q</p><p class=\"unclosed>r", "q r"),
         ("a < b <3 c", "a < b <3 c"),
         ("<form>f<input></form><p hidden>h</p><p style='display: none'>n</p>t", "t"),
@@ -73,6 +82,16 @@ def test_copies_of_a_page_are_no_templates(spark):
     assert all(got[200 + i] == f"story {i // 2}" for i in range(12)) and got[300] == "T body of it x"
 
 
+def test_many_templates_join_by_host(spark, monkeypatch):
+    box = "<div class=x7>Read our <b>other</b> stories</div>"
+    rows = [(i, f"http://a.example/{i}", f"<div>story {i}</div>{box}") for i in range(40)] + [(100 + i, f"http://b{i}.example/", f"<p>own {i}</p>{box}") for i in range(5)] + [(200, None, box), (201, "http://a.example/x", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    small = sorted(map(tuple, ht.extract(pages).select("page_id", "text", "n_chars").collect()))
+    monkeypatch.setattr(ht, "BROADCAST", -1)
+    assert sorted(map(tuple, ht.extract(pages).select("page_id", "text", "n_chars").collect())) == small
+    assert dict((a, b) for a, b, _ in small)[3] == "story 3"
+
+
 def test_the_test_table(spark):
     got = ht.op8_html_text(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), ["page_id", "url"]).collect()
     assert len(got) == 250
