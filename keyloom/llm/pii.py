@@ -1,6 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
-``find`` adds the confirmed spans of every text, ``redact`` replaces them.
+``find`` adds the confirmed spans of every text, ``redact`` replaces them. Spans of
+the base kinds count whatever their score; account numbers and secrets count from
+``THRESHOLD`` on, so one that only a word such as "example" stands near is left alone.
 
 Edge cases: a null text has no spans (``redact`` leaves it null); an empty text
 has none; repeated rows are treated row by row; texts of any length are read
@@ -28,9 +30,19 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?:password|passwd|token|secret|api_key) ?[=:] ?\"?([A-Za-z0-9_\-+/]{12,})")
-_NEAR = re.compile(r"[^\W\d_]+")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+#: Characters of an account number by country, as the registry lists them.
+IBAN_LENGTHS = {
+    n: int(x)
+    for n, x in (
+        y.split(":")
+        for y in "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HN:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20 YE:30".split()
+    )
+}
+_IBAN_REST = {n: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())}
+_SECRET = re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?:[Pp][Aa][Ss][Ss](?:[Ww][Oo][Rr][Dd]|[Ww][Dd])|[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Aa][Pp][Ii][_-]?[Kk][Ee][Yy])[\"']? ?[=:] ?[\"']?([A-Za-z0-9_\-+/]{12,})")
+#: Words of the context; parts of addresses, paths and compounds are none.
+_NEAR = re.compile(r"(?<![\w@./-])[^\W\d_]+(?![\w@/-]|\.\w)")
 
 #: Words that support a kind when they stand near a span, in the languages of the corpus.
 CONTEXT = {
@@ -42,10 +54,12 @@ CONTEXT = {
     "secret": frozenset("password token secret key aws credentials".split()),
 }
 #: Words that speak against personal data.
-AGAINST = frozenset("example sample test dummy version".split())
+AGAINST = frozenset("example sample test dummy version placeholder beispiel muster ejemplo exemple".split())
 #: Score of a confirmed span without context, and what a supporting or opposing word adds.
-PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.85, "phone": 0.7, "iban": 0.9, "secret": 0.8}
+PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.85, "phone": 0.7, "iban": 0.8, "secret": 0.8}
 SUPPORT, OPPOSE, WINDOW = 0.1, -0.2, 60
+#: Account numbers and secrets from this score on are found: an opposing word outweighs the prior, unless another supports it.
+THRESHOLD = 0.65
 
 
 def luhn(digits: str) -> bool:
@@ -100,22 +114,27 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    end = 0
     for m in _IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield m.span()
+        length = IBAN_LENGTHS.get(m[0][:2])
+        rest = _IBAN_REST[length].match(text, m.end()) if length and m.start() >= end else None
+        if rest and mod97((m[0] + rest[0]).replace(" ", "")):
+            end = rest.end()
+            yield m.start(), end
 
 
-def _secrets(text: str) -> Iterator[tuple[int, int]]:
+def _secrets(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, where the name before it starts): the name of a secret is no context of it."""
     for m in _SECRET.finditer(text):
         value = m[1]
         if value is None:
-            yield m.span()
+            yield *m.span(), m.start()
         elif any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
-            yield m.span(1)
+            yield *m.span(1), m.start()
 
 
-def _score(text: str, kind: str, start: int, end: int) -> float:
+def _score(text: str, kind: str, start: int, end: int, named: int | None = None) -> float:
+    start = start if named is None else named
     near = set(_NEAR.findall(text[max(0, start - WINDOW) : start].lower()))
     near.update(_NEAR.findall(text[end : end + WINDOW].lower()))
     score = PRIOR[kind] + SUPPORT * bool(near & CONTEXT[kind]) + OPPOSE * bool(near & AGAINST)
@@ -126,7 +145,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind as listed, then start; offsets in code points, end exclusive."""
     if not text:
         return []
-    found: list[tuple[str, int, int]] = []
+    found: list[tuple] = []
     digits = any(d in text for d in "0123456789")
     if "@" in text:
         found += [("email", *s) for s in _emails(text)]
@@ -137,13 +156,13 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
             found += [("phone", *s) for s in _phones(text)]
         found += [("iban", *s) for s in _ibans(text)]
         found += [("secret", *s) for s in _secrets(text)]
-    return [(k, a, b, _score(text, k, a, b)) for k, a, b in found]
+    return [(k, a, b, _score(text, k, a, b, *more)) for k, a, b, *more in found]
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def find(docs: DataFrame, threshold: float = 0.0) -> DataFrame:
+def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``spans``: those of the base kinds, and others whose score reaches ``threshold``."""
     without(docs, "spans")
 
@@ -161,7 +180,7 @@ def find(docs: DataFrame, threshold: float = 0.0) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def redacted(text: str | None, threshold: float = 0.0) -> str | None:
+def redacted(text: str | None, threshold: float = THRESHOLD) -> str | None:
     """The text with each span replaced by its kind in angle brackets; overlapping spans merge into the first."""
     if not text:
         return text
@@ -176,8 +195,8 @@ def redacted(text: str | None, threshold: float = 0.0) -> str | None:
     return "".join(out) + text[end:]
 
 
-def redact(docs: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """``docs`` with every confirmed span in ``text`` replaced."""
+def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with every span in ``text`` replaced that ``find`` gives."""
     at = docs.columns.index("text")
 
     def run(batches):
