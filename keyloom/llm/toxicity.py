@@ -3,12 +3,13 @@
 ``fit`` learns terms, stems and their weights from labelled documents;
 ``score`` walks every word of every text through one automaton, the
 intersection of the trie with the Levenshtein automata of its terms, made
-deterministic as states are met. Each hit adds its weight, less where the
-words around it quote rather than abuse.
+deterministic as states are met. Each hit adds its weight, less where it stands
+inside a quotation, between an opening and a closing mark however many words apart
+within ``SPAN`` characters of one line, or near a word that reports what others say.
 
 Edge cases: a null or empty text scores the prior; labels that are null or
 neither 0 nor 1 are ignored; a row without a label only gets a score; repeated
-rows get equal scores; without labels of both classes the model has no terms
+rows get equal scores; ``score`` keeps other columns and refuses a clash with its own; without labels of both classes the model has no terms
 and every text scores the prior. Texts of any length are read whole.
 """
 
@@ -26,11 +27,13 @@ from pyspark.sql import types as T
 from ._shared import slices, without
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Quotation marks, and words that report what others say, in the languages of the corpus.
-QUOTES = "\"'“”„«»‘’"
+#: Pairs of quotation marks, and words that report what others say, in the languages of the corpus.
+QUOTES = ('""', "''", "“”", "„“", "„”", "«»", "»«", "‘’", "‚‘")
 REPORTING = frozenset("said says quote quoted called slur word term insult means sagte zitat wort dijo palabra insulto dit mot insulte".split())
-#: How much of a hit's weight counts when it stands in quotation marks, or near a reporting word.
-QUOTED, REPORTED, WINDOW = 0.35, 0.6, 40
+#: How much of a hit's weight counts when it stands in quotation marks, where the highest weight alone must not reach the threshold, or near a reporting word.
+QUOTED, REPORTED, WINDOW = 0.15, 0.6, 40
+#: Characters on either side in which the marks of a quotation are looked for.
+SPAN = 200
 
 
 def edits_allowed(term: str, stem: bool) -> int:
@@ -182,14 +185,39 @@ class Model:
 
 def _stance(text: str, start: int, end: int) -> float:
     """The share of a hit's weight that counts, from the window around it."""
-    before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
-    if before[-1:] in QUOTES and before and after[:1] in QUOTES and after:
+    if _quoted(text, start, end):
         return QUOTED
-    if REPORTING & set(_WORD.findall(before)):
+    if REPORTING & set(_WORD.findall(text[max(0, start - WINDOW) : start])):
         return REPORTED
     return 1.0
 
 
+def _quoted(text: str, start: int, end: int) -> bool:
+    """Whether an opening mark before a hit and a closing one after it, on its line, have no other of their kind between.
+
+    An opening mark has no letter before it and no space after it, a closing one no
+    space before it and no letter after it; others, such as apostrophes, are no marks.
+    """
+    low = max(0, start - SPAN, text.rfind("\n", 0, start) + 1)
+    high = text.find("\n", end, end + SPAN)
+    high = min(len(text), end + SPAN) if high < 0 else high
+
+    def opens(i: int) -> bool:
+        return not text[i - 1 : i].isalnum() and not text[i + 1 : i + 2].isspace()
+
+    def closes(i: int) -> bool:
+        return i > 0 and not text[i - 1].isspace() and not text[i + 1 : i + 2].isalnum()
+
+    for left, right in QUOTES:
+        i = next((i for i in range(start - 1, low - 1, -1) if text[i] in (left, right) and (opens(i) or closes(i))), -1)
+        if i < 0 or text[i] != left or not opens(i):
+            continue
+        j = next((j for j in range(end, high) if text[j] in (left, right) and (opens(j) or closes(j))), -1)
+        if j >= 0 and text[j] == right and closes(j):
+            return True
+    return False
+
+
 def usable(labels: DataFrame) -> DataFrame:
     """(doc_id, toxic) of labels to learn from, each once: crc32 of the number as text leaves 0 or 2 on division by 3."""
     some = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -214,7 +242,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, hypotheses: int = 200_000) -> Model:
     """Terms, stems and weights from at most ``most`` labelled documents of either class.
 
-    A term is a word, and a stem a beginning of four to six letters that three
+    A term is a word of any length, and a stem a beginning of four to six letters that three
     words or more share, so frequent in toxic and so rare in clean documents of the
     sample that none of ``hypotheses`` words would be so by chance, and that stands
     between as many different neighbours (words of one copied document don't). The
@@ -235,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, hypotheses: int =
 
 
 def _features(text: str) -> set[tuple[str, bool]]:
-    whole = {(w, False) for w in _WORD.findall(text) if 4 <= len(w) <= 24}
+    whole = {(w, False) for w in _WORD.findall(text)}
     return whole | {(w[:n], True) for w, _ in whole for n in (4, 5, 6) if len(w) > n}
 
 
