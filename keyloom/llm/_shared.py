@@ -8,7 +8,9 @@ for a local master that names none.
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
+import threading
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -66,35 +68,40 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _tables.append((spark, path))
     out._table_path = path
+    _tables[path] = (next(_numbers), threading.get_ident(), spark)
     return out
 
 
-#: Tables made by ``persisted`` and not yet dropped, oldest first.
-_tables: list[tuple[SparkSession, str]] = []
-
-
-def dropped(*tables: DataFrame | None) -> None:
-    """Deletes tables made by ``persisted`` that nothing will read again; others are left alone."""
-    for df in tables:
-        path = getattr(df, "_table_path", None)
-        for entry in [t for t in _tables if t[1] == path]:
-            _tables.remove(entry)
-            _remove(*entry)
+#: Tables made by ``persisted`` and not yet deleted: number, thread and session.
+_tables: dict[str, tuple[int, int, SparkSession]] = {}
+_numbers = itertools.count()
 
 
 def made() -> int:
     """A mark for ``swept``: tables made from now on come after it."""
-    return len(_tables)
+    return next(_numbers)
 
 
 def swept(mark: int, *kept: DataFrame) -> None:
-    """Deletes the tables made since ``mark`` but for ``kept``; whatever reads the others must have run."""
+    """Deletes the tables that this thread made since ``mark``, but for ``kept``; whatever reads the others must have run."""
     keep = {getattr(df, "_table_path", None) for df in kept}
-    for entry in [t for t in _tables[mark:] if t[1] not in keep]:
-        _tables.remove(entry)
-        _remove(*entry)
+    for path, (number, thread, spark) in list(_tables.items()):
+        if number > mark and thread == threading.get_ident() and path not in keep:
+            del _tables[path]
+            _remove(spark, path)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], small: bool, spread_by: list[str], salts: int = 64) -> DataFrame:
+    """``rows`` joined with their row of ``table``, which has one a key: by broadcast if it is ``small``, else salted.
+
+    Salting deals the rows of one key to ``salts`` tasks by a hash of the columns
+    ``spread_by``, and takes as many copies of the table.
+    """
+    if small:
+        return rows.join(F.broadcast(table), keys)
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts))).join(copies, [*keys, "_salt"]).drop("_salt")
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -4,17 +4,20 @@ Texts are sets of five-word shingles; texts with a Jaccard similarity of 0.8 or
 are linked. Equal texts form a class and take part once. The steps:
 
 1. one pass signs each text with MinHash values and the bands made of them;
-2. classes that share a band meet in buckets. There their MinHash values are compared
-   a few at a time; a pair is dropped once the posterior probability that its
-   similarity reaches the threshold falls below a tolerance. Survivors join
-   components (a bucket gives a spanning forest, not its pairs);
+2. classes that share a band meet in buckets. Each is compared with the first of its
+   bucket, row by row; those that this leaves apart are compared with all others of the
+   bucket, in blocks. MinHash values are compared a few at a time; a pair is dropped
+   once the posterior probability that its similarity reaches the threshold falls below
+   a tolerance. Survivors join components (a bucket gives a spanning forest, not its
+   pairs);
 3. inside each component all pairs of classes are verified exactly, on the shingle
    sets; components fall apart where no link holds;
 4. documents get the class of their text: the least document number among the texts
    that links connect, and their number of links.
 
-Buckets and components beyond a size are dealt as pairs of chunks, so that no task
-holds more than two chunks and every pair still meets. The tolerance and the bands
+A bucket costs one look a member, whatever its size, unless members stay apart from
+its first; these are dealt as pairs of chunks, as components beyond a size are, so that
+no task holds more than two chunks and every pair still meets. The tolerance and the bands
 together lose about one in 200,000 links at the threshold itself at most, and
 practically none above it; step 3 also finds links that step 2 missed within a component.
 
@@ -29,13 +32,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import persisted, slices, without
+from ._shared import looked_up, made, persisted, slices, swept, without
 
 WORDS = 5
 #: The threshold as a fraction, so that verification is exact.
@@ -44,8 +46,10 @@ THRESHOLD = (4, 5)
 BANDS, ROWS = 35, 5
 #: Numbers of MinHash values after which a pair may be dropped, and the tolerance.
 LOOKS, TOLERANCE = (24, 48, 96, BANDS * ROWS), 1e-6
-#: Members of a bucket, and shingles of a component, that make a chunk.
-BUCKET_CHUNK, SHINGLE_CHUNK = 8_192, 1_500_000
+#: Members of a bucket that make a chunk: so many at least, one in so many parts, and so many at most.
+BUCKET_CHUNK = (256, 64, 16_384)
+#: Shingles of a component that make a chunk.
+SHINGLE_CHUNK = 1_500_000
 #: Texts or classes up to this number are looked up by broadcast (some 100 bytes each).
 BROADCAST = 150_000
 
@@ -57,13 +61,13 @@ _B = _rng.randint(0, 2**62, BANDS * ROWS).astype(np.uint64)
 
 def shingles(text: str | None) -> np.ndarray:
     """The distinct shingles of a text as sorted 64-bit hashes."""
+    import xxhash
+
     # bytes.split() splits at space and U+0009 to U+000D, just what separates words.
     words = (text or "").encode("utf-8", "surrogatepass").split()
     if not words:
         return np.empty(0, np.uint64)
-    c = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    # Two words with one checksum would need all their neighbours equal as well; the length separates them further.
-    c = c * _MIX + np.fromiter(map(len, words), np.uint64, len(words))
+    c = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(c) - WORDS + 1)
     h = np.zeros(n, np.uint64)
     for k in range(min(WORDS, len(c))):
@@ -157,21 +161,26 @@ def _find(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def _forest(sig: np.ndarray) -> np.ndarray:
-    """The first member of each member's component under plausible pairs; pairs already connected aren't compared."""
-    n = len(sig)
-    label = np.arange(n)
-    for i in range(n):
-        other = np.flatnonzero(label != label[i])
-        # Pairs with an earlier i were compared in its turn.
-        other = other[other > i]
+def _edges(cid: np.ndarray, sig: np.ndarray, apart: np.ndarray) -> list[tuple[int, int]]:
+    """Plausible pairs (places) of members that stay apart with any others; pairs already connected aren't compared.
+
+    A member may occur in both roles; pairs of two that stay apart are taken once.
+    """
+    _, label = np.unique(cid, return_inverse=True)
+    asked = set(cid[apart].tolist())
+    both = np.fromiter((c in asked for c in cid.tolist()), bool, len(cid))
+    rest = ~apart
+    out = []
+    for i in np.flatnonzero(apart).tolist():
+        other = np.flatnonzero(rest & (label != label[i]) & ~(both & (cid < cid[i])))
         if not len(other):
             continue
         hit = other[plausible(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other])]
         if len(hit):
-            joined = np.unique(np.append(label[hit], label[i]))
+            joined, at = np.unique(np.append(label[hit], label[i]), return_index=True)
+            out += [(i, int(hit[k])) for k in at.tolist() if k < len(hit)]
             label[np.isin(label, joined)] = joined[0]
-    return label
+    return out
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -199,39 +208,63 @@ def candidates(classes: DataFrame) -> DataFrame:
     """Edges (u, v) of spanning forests, over buckets, of pairs that pruning leaves."""
     in_bands = classes.where("n > 0").select("cid", F.posexplode("bands").alias("band", "value")).select("cid", F.xxhash64("band", "value").alias("bucket"))
     # Counting first combines on the map side, so that a bucket of any size costs little.
-    shared = in_bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    met = in_bands.join(shared, "bucket")
-    chunks = F.ceil(F.col("size") / BUCKET_CHUNK)
-    met = met.withColumn("c", F.pmod(F.xxhash64("cid"), chunks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    met = met.select("cid", "bucket", F.least("c", "o").alias("p"), F.greatest("c", "o").alias("q"))
-    met = met.join(classes.select("cid", "sig"), "cid")
+    shared = in_bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cid").alias("first")).where("size > 1")
+    met = persisted(in_bands.join(shared, "bucket"), "met")
+    sigs = classes.select("cid", "sig")
+    # The first of a large group is the first of most of its buckets, so a member meets few of them; each pair is a row of its own.
+    pairs = persisted(met.where("cid <> first").select("cid", "first").distinct(), "pairs")
+    firsts = persisted(pairs.select("first").distinct(), "firsts")
+    few = firsts.count() <= BROADCAST
+    first_sigs = sigs.select(F.col("cid").alias("first"), F.col("sig").alias("first_sig")).join(F.broadcast(firsts) if few else firsts, "first")
+    todo = looked_up(pairs.join(sigs, "cid"), first_sigs, ["first"], few, ["cid"])
+
+    def look(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, BANDS * ROWS) for c in ("sig", "first_sig"))
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("first"), pa.array(plausible(a, b))], names=["cid", "first", "near"])
+
+    looked = persisted(todo.mapInArrow(look, "cid long, first long, near boolean"), "looked")
+    edges = looked.where("near").select(F.col("cid").alias("u"), F.col("first").alias("v"))
+    # In a bucket of two there is no other to compare with.
+    apart = persisted(met.where("size > 2").join(looked.where("not near").select("cid", "first"), ["cid", "first"]).select("cid", "bucket", "size"), "apart")
+    if not apart.limit(1).count():
+        return edges
+    return edges.unionByName(_among(met, apart, sigs)).distinct()
+
+
+def _chunks(n: Column) -> Column:
+    least, parts, most = BUCKET_CHUNK
+    return F.ceil(n / F.least(F.greatest(F.lit(least), n / parts), F.lit(most)))
+
+
+def _among(met: DataFrame, apart: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Edges of the members ``apart`` from the first of their bucket with all other members of it.
+
+    Chunks of either meet as a grid, so a bucket of any size is many tasks; members of a
+    bucket without such members go no further.
+    """
+    many = apart.groupBy("bucket").agg(F.count("*").alias("n_apart"))
+    zero = F.lit(0).cast("long")
+    one = apart.join(many, "bucket").select("bucket", "cid", F.lit(True).alias("apart"), F.pmod(F.xxhash64("cid"), _chunks(F.col("n_apart"))).alias("p"), F.explode(F.sequence(zero, _chunks(F.col("size")) - 1)).alias("q"))
+    # The first itself was compared with all.
+    other = met.where("cid <> first").join(many, "bucket").select("bucket", "cid", F.lit(False).alias("apart"), F.explode(F.sequence(zero, _chunks(F.col("n_apart")) - 1)).alias("p"), F.pmod(F.xxhash64("cid"), _chunks(F.col("size"))).alias("q"))
     keys = ["bucket", "p", "q"]
-    dealt = met.repartition(*keys).sortWithinPartitions(*keys, "cid").select(*keys, "cid", "sig")
+    dealt = one.unionByName(other).join(sigs, "cid").repartition(*keys).sortWithinPartitions(*keys, "cid", "apart").select(*keys, "cid", "apart", "sig")
 
     def run(batches):
         import pyarrow as pa
 
-        for table in _groups(slices(batches), ("bucket", "p", "q")):
-            cid = table.column("cid").to_numpy()
+        for table in _groups(slices(batches), tuple(keys)):
+            cid, flag = table.column("cid").to_numpy(), table.column("apart").to_numpy(zero_copy_only=False)
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(cid), BANDS * ROWS)
-            bounds = _runs(*(table.column(k).to_numpy() for k in keys))
-            first = np.repeat(bounds[:-1], np.diff(bounds))
-            rest = np.flatnonzero(first != np.arange(len(cid)))
-            parent = np.arange(len(cid))
-            # All members with the first of their bucket at once; what stays apart goes pair by pair.
-            for at in range(0, len(rest), 100_000):
-                some = rest[at : at + 100_000]
-                near = plausible(sig[some], sig[first[some]])
-                parent[some[near]] = first[some[near]]
-            apart = rest[parent[rest] == rest]
-            for k in np.unique(np.searchsorted(bounds, apart, side="right") - 1):
-                a, b = bounds[k], bounds[k + 1]
-                if b - a > 2:
-                    parent[a:b] = _forest(sig[a:b]) + a
-            linked = np.flatnonzero(parent != np.arange(len(cid)))
-            yield pa.RecordBatch.from_arrays([pa.array(cid[linked]), pa.array(cid[parent[linked]])], names=["u", "v"])
-
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+            bounds = _runs(*(table.column(k).to_numpy() for k in keys)).tolist()
+            found = [(a + i, a + j) for a, b in zip(bounds[:-1], bounds[1:], strict=True) for i, j in _edges(cid[a:b], sig[a:b], flag[a:b])]
+            u, v = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(cid[u]), pa.array(cid[v])], names=["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -241,8 +274,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     kept as a table after every round; rounds grow with the logarithm of the size.
     """
     both = lambda e: e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    state, mark = None, made()
     current = persisted(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    state = None
     while True:
         around = both(current)
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -251,6 +284,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
         current = persisted(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+        swept(mark, current)
         now = current.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2**31))), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("v", "u")), F.lit(0))).first()
         if now == state:
             break
@@ -352,9 +386,11 @@ def classify(docs: DataFrame) -> DataFrame:
     label: a class of the same group; links: documents of other classes linked to;
     least: the least document number of the group.
     """
+    mark = made()
     agg = sign(docs).groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in ("n", "sig", "bands")])
     classes = persisted(agg.withColumn("cid", F.monotonically_increasing_id()), "classes")
     found = persisted(components(candidates(classes)), "found")
+    swept(mark, classes, found)
     sized = found.join(classes.select(F.col("cid").alias("node"), "key", "n", "n_docs"), "node")
     weights = sized.groupBy("component").agg(F.ceil(F.sum("n") / SHINGLE_CHUNK).alias("chunks"))
     members = persisted(sized.join(weights, "component").select(F.col("node").alias("cid"), "component", "chunks", "n_docs", "key"), "members")
@@ -370,7 +406,9 @@ def classify(docs: DataFrame) -> DataFrame:
     labelled = classes.where("n > 0").select("key", "n_docs", "n", "cid", "first_doc").join(whole, "cid", "left").join(links, "cid", "left")
     labelled = persisted(labelled.withColumns({"label": F.coalesce("label", "cid"), "links": F.coalesce("links", F.lit(0).cast("long"))}), "labelled")
     least = labelled.groupBy("label").agg(F.min("first_doc").alias("least"))
-    return persisted(labelled.join(least, "label").select("key", "n_docs", "n", "cid", "label", "links", "least", "first_doc"), "classified")
+    out = persisted(labelled.join(least, "label").select("key", "n_docs", "n", "cid", "label", "links", "least", "first_doc"), "classified")
+    swept(mark, out)
+    return out
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -385,6 +423,7 @@ def join(docs: DataFrame) -> DataFrame:
 def dedupe(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group, that of the least number; texts without words all stay."""
     without(docs, *["_nd_" + x for x in ("key", "stay", "many", "row")])
+    mark = made()
     classes = classify(docs)
     # The class that stays holds the group's least number; on ties, or without numbers, the least class.
     order = F.struct(F.coalesce("first_doc", F.lit(2**63 - 1)), "cid")
@@ -392,6 +431,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
     judged = classes.join(stays, "label").select(F.col("key").alias("_nd_key"), (F.col("cid") == F.col("stay")).alias("_nd_stay"), (F.col("n_docs") > 1).alias("_nd_many"))
     # Only texts that go or have copies matter; all others pass without a shuffle.
     judged = persisted(judged.where("_nd_many or not _nd_stay"), "judged")
+    swept(mark, judged)
     table = F.broadcast(judged) if judged.count() <= BROADCAST else judged
     marked = docs.withColumn("_nd_key", _key()).join(table, "_nd_key", "left")
     alone = marked.where("_nd_stay is null").select(*docs.columns)
