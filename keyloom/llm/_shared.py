@@ -62,11 +62,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def persisted(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there, so a lost executor costs no rework."""
+def persisted(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage ends there, so a lost executor costs no rework.
+
+    ``file_rows`` bounds the rows of a file, if given.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     _tables[path] = (next(_numbers), threading.get_ident(), spark)
@@ -78,6 +81,11 @@ _tables: dict[str, tuple[int, int, SparkSession]] = {}
 _numbers = itertools.count()
 
 
+def table_path(df: DataFrame) -> str | None:
+    """Where ``persisted`` keeps a table; none for any other frame."""
+    return getattr(df, "_table_path", None)
+
+
 def made() -> int:
     """A mark for ``swept``: tables made from now on come after it."""
     return next(_numbers)
@@ -85,7 +93,7 @@ def made() -> int:
 
 def swept(mark: int, *kept: DataFrame) -> None:
     """Deletes the tables that this thread made since ``mark``, but for ``kept``; whatever reads the others must have run."""
-    keep = {getattr(df, "_table_path", None) for df in kept}
+    keep = {table_path(df) for df in kept}
     for path, (number, thread, spark) in list(_tables.items()):
         if number > mark and thread == threading.get_ident() and path not in keep:
             del _tables[path]

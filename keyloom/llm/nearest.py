@@ -4,17 +4,25 @@ Vectors are scaled to length one, so the largest inner product is the largest
 cosine. ``fit`` learns, on a bounded sample, sixteen centroids for each pair of
 dimensions; codes and centroids minimise an anisotropic loss, in which residual
 error parallel to the vector, which changes the highest inner products, weighs more
-than error at right angles to it. ``index`` codes every row, half a byte a pair.
-``search`` sums byte-sized table entries of each query over the codes, block by
-block, takes the best of each block and reranks those by the exact cosine; then it
-reranks every other row whose table sum and residual leave open that its cosine
-reaches the worst one kept so far, so no row is lost to equal or nearly equal codes.
+than error at right angles to it. ``index`` codes every row, half a byte a pair, and
+orders the rows by the nearest of some coarse centres, in files of bounded size.
+
+``search`` is one job that deals pairs of an index file and some files of queries to
+tasks. Each query brings a floor, the cosine of its k-th nearest in the sample. A
+block of rows is skipped by the queries whose floor, or k-th best so far, is out of
+reach for all its rows, by the angles to their centres; so the scan grows less than
+with the square of the table as far as the vectors form groups, and stays exact
+either way. For the others byte-sized table entries are summed over the codes, the
+best of the block are reranked by the exact cosine, and then every other row whose
+table sum and residual leave open that its cosine reaches the worst one kept so far,
+so no row is lost to equal or nearly equal codes.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do rows without a number or with another number of dimensions than most
 of the sample; equal scores go to the smaller number; with too few candidates a
-query gets fewer rows; repeated rows are separate candidates; an empty table gives
-no rows. Other columns are ignored.
+query gets fewer rows; repeated rows are separate candidates; of several query rows
+with one number the one with the least vector asks, and none of them is its candidate;
+an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,28 +35,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import persisted
+from ._files import listed, open_store
+from ._shared import persisted, spread, table_path
 
 PART, CENTROIDS = 2, 16
-#: Vectors that the codebooks are learned from, chosen by a hash of their number.
-SAMPLE = 20_000
+#: Vectors that the codebooks and coarse centres are learned from, chosen by a hash of their number, and numbers in all of them.
+SAMPLE, SAMPLE_NUMBERS = 20_000, 8_000_000
 #: Inner products from this cosine on are those whose error counts.
 FOCUS = 0.2
 #: Candidates that a query reranks first in each block of rows, and the rows of a block.
 RERANK, BLOCK = 96, 8_192
-#: Slack for rounding in bounds on cosines, and pairs whose cosines are worked out at once.
-SLACK, PAIRS = 1e-9, 65_536
-#: Queries searched in one pass over the index, and those scanned at once in a task.
-QUERIES, AT_ONCE = 4_096, 256
+#: Slack for rounding in bounds on cosines and on angles, and pairs whose cosines are worked out at once.
+SLACK, ANGLE_SLACK, PAIRS = 1e-9, 1e-6, 65_536
+#: Queries of a file, those scanned at once in a task, and the files of queries that a task's row names.
+QUERIES, AT_ONCE, FILES = 4_096, 256, 16
+#: Numbers in the vectors of an index file, which a task holds whole.
+FILE_NUMBERS = 4_000_000
 
 
 @dataclass(frozen=True)
 class Codebook:
-    """Centroids (parts, 16, 2) and the weight of parallel over orthogonal error."""
+    """Centroids (parts, 16, 2), the weight of parallel over orthogonal error, coarse centres, and the sample as unit vectors with their numbers."""
 
     dims: int
     centroids: np.ndarray
     weight: float
+    cells: np.ndarray | None = None
+    sample: np.ndarray | None = None
+    sample_ids: np.ndarray | None = None
+
+    def bare(self) -> Codebook:
+        """Without the sample, which only the floors of queries need."""
+        return Codebook(self.dims, self.centroids, self.weight, self.cells)
 
     def split(self, x: np.ndarray) -> np.ndarray:
         """Unit vectors as (rows, parts, 2), padded with zeros."""
@@ -129,6 +147,19 @@ def train(x: np.ndarray, rounds: int = 5, seed: int = 0) -> Codebook:
     return book
 
 
+def coarse(x: np.ndarray, rounds: int = 6, seed: int = 0) -> np.ndarray:
+    """Unit centres of groups of unit vectors, the square root of their number, by means in turn."""
+    rng = np.random.RandomState(seed)
+    centre = x[rng.choice(len(x), max(1, math.isqrt(len(x))), replace=False)].copy()
+    for _ in range(rounds):
+        near = (x @ centre.T).argmax(1)
+        total = np.zeros_like(centre)
+        np.add.at(total, near, x)
+        size = np.sqrt((total * total).sum(1))
+        centre[size > 0] = total[size > 0] / size[size > 0, None]
+    return centre
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding as doubles) of the rows that take part."""
     e = F.transform("embedding", lambda x: x.cast("double"))
@@ -147,17 +178,31 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, most: int = SAMPLE) -> Codebook | None:
-    """A codebook from at most ``most`` usable vectors; none if there are no vectors."""
-    sample = usable(vectors).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).collect()
-    if not sample:
+    """A codebook from at most ``most`` usable vectors, fewer if they are long; none if there are no vectors."""
+    rows = usable(vectors)
+    first = rows.select(F.size("embedding").alias("n")).first()
+    if first is None:
         return None
-    sizes = [len(r.embedding) for r in sample]
-    dims = max(set(sizes), key=lambda s: (sizes.count(s), s))
-    return train(_unit(np.array([r.embedding for r in sample if len(r.embedding) == dims])))
+    # The driver gets columns, not rows: SAMPLE_NUMBERS doubles are 64 MB.
+    most = max(CENTROIDS, min(most, SAMPLE_NUMBERS // first.n))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toArrow().combine_chunks()
+    ids, column = sample.column("vec_id").to_numpy(), sample.column("embedding").combine_chunks()
+    sizes = column.value_lengths().to_numpy()
+    values, counts = np.unique(sizes, return_counts=True)
+    dims = int(values[np.lexsort((values, counts))[-1]])
+    kept = np.flatnonzero(sizes == dims)
+    x = _unit(_matrix(column.take(kept)))
+    book = train(x)
+    return Codebook(dims, book.centroids, book.weight, coarse(x), x.astype(np.float32), ids[kept])
 
 
 def index(vectors: DataFrame, book: Codebook) -> DataFrame:
-    """(vec_id, embedding, code, along, across) of every usable row, kept in the shared folder; the last two from ``residuals``."""
+    """(vec_id, embedding, code, along, across, cell, near) of every usable row, kept in the shared folder.
+
+    along and across come from ``residuals``; cell is the nearest coarse centre and near
+    the cosine to it. Rows lie in order of cells; a cell of any size spreads over files.
+    """
+    spark, book = vectors.sparkSession, book.bare()
 
     def run(batches):
         import pyarrow as pa
@@ -170,10 +215,16 @@ def index(vectors: DataFrame, book: Codebook) -> DataFrame:
                 if code.shape[1] % 2:
                     code = np.pad(code, ((0, 0), (0, 1)))
                 packed = code[:, ::2] | code[:, 1::2] << 4
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(along), pa.array(across)], names=["vec_id", "embedding", "code", "along", "across"])
+                dots = x @ book.cells.T
+                cell = dots.argmax(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(along), pa.array(across), pa.array(cell.astype(np.int32)), pa.array(dots[np.arange(len(x)), cell])], names=["vec_id", "embedding", "code", "along", "across", "cell", "near"])
 
     rows = usable(vectors).where(F.size("embedding") == book.dims)
-    return persisted(rows.mapInArrow(run, "vec_id long, embedding array<double>, code binary, along double, across double"), "index")
+    coded = rows.mapInArrow(run, "vec_id long, embedding array<double>, code binary, along double, across double, cell int, near double")
+    tasks = 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    file_rows = max(1, min(FILE_NUMBERS // book.dims, max(BLOCK, -(-vectors.count() // tasks))))
+    keys = ["cell", F.xxhash64("vec_id")]
+    return persisted(coded.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys), "index", file_rows)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -232,20 +283,28 @@ def _rest(open_: np.ndarray, worst: np.ndarray, queries: np.ndarray, x: np.ndarr
     return score, found
 
 
-def scan(batches, book: Codebook, ids: np.ndarray, queries: np.ndarray, k: int):
-    """The exact k best of each query among the rows of one task: table scan, then reranking."""
-    tables, step, left_out = book.tables(_unit(queries))
+def scan(batches, book: Codebook, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int):
+    """The exact k best of each query among the rows of one task that reach its floor: table scan, then reranking."""
+    unit = _unit(queries)
+    tables, step, left_out = book.tables(unit)
+    angles = np.arccos(np.clip(unit @ book.cells.T, -1, 1))
     best, found = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
     for batch in batches:
         for start in range(0, batch.num_rows, BLOCK):
             part = batch.slice(start, BLOCK)
+            cells, radius = _reaches(part.column("cell").to_numpy(), part.column("near").to_numpy())
+            # The least angle to any row of the block: that to a centre less what its rows lie off it.
+            nearest = np.cos(np.maximum(0, (angles[:, cells] - radius[None]).min(1) - ANGLE_SLACK))
+            asked = np.flatnonzero(nearest >= np.maximum(best[:, -1], floor) - SLACK)
+            if not len(asked):
+                continue
             order = np.argsort(part.column("vec_id").to_numpy(), kind="stable")
             number, x = part.column("vec_id").to_numpy()[order], _matrix(part.column("embedding"))[order]
             packed = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(number), -1)[order]
             along, across = part.column("along").to_numpy()[order], part.column("across").to_numpy()[order]
-            for at in range(0, len(ids), AT_ONCE):
-                some = slice(at, at + AT_ONCE)
-                total = np.zeros((len(ids[some]), len(number)), np.int32)
+            for at in range(0, len(asked), AT_ONCE):
+                some = asked[at : at + AT_ONCE]
+                total = np.zeros((len(some), len(number)), np.int32)
                 for p in range(tables.shape[1]):
                     code = packed[:, p // 2] >> 4 if p % 2 else packed[:, p // 2] & 15
                     total += tables[some, p][:, code]
@@ -256,7 +315,7 @@ def scan(batches, book: Codebook, ids: np.ndarray, queries: np.ndarray, k: int):
                 exact[np.take_along_axis(total, top, 1) < 0] = -np.inf
                 best[some], found[some] = _merged(np.hstack([best[some], exact]), np.hstack([found[some], number[top]]), k)
                 if len(number) > RERANK:
-                    worst = best[some, -1]
+                    worst = np.maximum(best[some, -1], floor[some])
                     # Table entries are rounded by half a step at most.
                     most = (total + tables.shape[1] / 2) * step[some, None] + left_out[some, None]
                     open_ = (most >= _reach(worst, along, across) - SLACK) & ~own
@@ -266,39 +325,80 @@ def scan(batches, book: Codebook, ids: np.ndarray, queries: np.ndarray, k: int):
     return best, found
 
 
+def _reaches(cell: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of some rows, and the greatest angle of a row to the centre of each."""
+    cells, at = np.unique(cell, return_inverse=True)
+    least = np.ones(len(cells))
+    np.minimum.at(least, at, near)
+    return cells, np.arccos(np.clip(least, -1, 1))
+
+
+def _with_floors(queries: DataFrame, book: Codebook, k: int) -> DataFrame:
+    """``queries`` with ``floor``: a lower bound on the cosine of the k-th nearest, from the sample; -2 without one."""
+    shared = queries.sparkSession.sparkContext.broadcast((book.sample, book.sample_ids))
+
+    def run(batches):
+        import pyarrow as pa
+
+        sample, ids = shared.value
+        for batch in batches:
+            floors = []
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                score = _unit(_matrix(part.column("embedding"))).astype(np.float32) @ sample.T
+                score[part.column("vec_id").to_numpy()[:, None] == ids[None]] = -2
+                # Single precision rounds by far less than this.
+                floors.append(np.partition(score, -k, axis=1)[:, -k] - 1e-4 if len(ids) >= k else np.full(part.num_rows, -2.0))
+            if floors:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(floors).astype(np.float64))], names=["vec_id", "embedding", "floor"])
+
+    return queries.mapInArrow(run, "vec_id long, embedding array<double>, floor double")
+
+
+def _read(uri: str):
+    import pyarrow.parquet as pq
+
+    store, path = open_store(uri)
+    return pq.read_table(path, filesystem=store, partitioning=None)
+
+
 def search(indexed: DataFrame, book: Codebook, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest other rows of each row where ``is_query`` holds.
 
-    Queries are taken in blocks of bounded size, one pass over the index each; a task
-    gives ``k`` rows a query, so what is shuffled doesn't depend on the rows it scans.
+    Index files and groups of query files are dealt to tasks as pairs, all in one job; a
+    task reads both from the shared folder and holds one index file and one file of
+    queries. It gives at most ``k`` rows a query, and only those that reach its floor.
     """
     spark = indexed.sparkSession
-    queries = persisted(indexed.where(is_query).select("vec_id", "embedding"), "queries")
-    blocks = max(1, math.ceil(queries.count() / QUERIES))
-    out = None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).dropDuplicates(["vec_id"]).orderBy("vec_id").collect()
-        if not rows:
-            continue
-        asked = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows], np.int64), np.array([r.embedding for r in rows])))
-        part = persisted(indexed.mapInArrow(_scanner(asked, book, k), "query_id long, vec_id long, score double"), "hits")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+    if table_path(indexed) is None:
+        indexed = persisted(indexed, "index", max(1, FILE_NUMBERS // book.dims))
+    asked = indexed.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = persisted(_with_floors(asked, book, k).repartition(1 + asked.count() // QUERIES), "queries", QUERIES)
+    rows = [uri for uri, _ in listed(table_path(indexed), ".parquet")]
+    blocks = [uri for uri, _ in listed(table_path(asked), ".parquet")]
+    files = spark.createDataFrame([(uri,) for uri in rows], "uri string")
+    groups = -(-len(blocks) // FILES)
+    pairs = files.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) if groups else files.where("false").withColumn("g", F.lit(0))
+    names, bare = spark.sparkContext.broadcast(blocks), book.bare()
 
-def _scanner(asked, book: Codebook, k: int):
     def run(batches):
         import pyarrow as pa
 
-        ids, queries = asked.value
-        best, found = scan(batches, book, ids, queries, k)
-        real = np.isfinite(best)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(1))), pa.array(found[real]), pa.array(best[real])], names=["query_id", "vec_id", "score"])
-
-    return run
+        for batch in batches:
+            for uri, g in zip(batch.column("uri").to_pylist(), batch.column("g").to_pylist(), strict=True):
+                part = _read(uri).to_batches()
+                for block in names.value[g * FILES : (g + 1) * FILES]:
+                    queries = _read(block).combine_chunks()
+                    if not queries.num_rows:
+                        continue
+                    ids, floor = queries.column("vec_id").to_numpy(), queries.column("floor").to_numpy()
+                    best, found = scan(part, bare, ids, _matrix(queries.column("embedding").combine_chunks()), floor, k)
+                    real = np.isfinite(best) & (best >= floor[:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(1))), pa.array(found[real]), pa.array(best[real])], names=["query_id", "vec_id", "score"])
+
+    hits = persisted(spread(pairs).mapInArrow(run, "query_id long, vec_id long, score double"), "hits")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,59 @@ def test_recall_in_a_large_group_of_near_copies(spark):
     assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want)
 
 
+def clustered(n, dims, groups, spread, seed):
+    rng = np.random.RandomState(seed)
+    return (rng.randn(groups, dims)[rng.randint(0, groups, n)] + spread * rng.randn(n, dims)).astype(np.float32).astype(np.float64)
+
+
+def test_many_blocks_and_query_files(spark, monkeypatch):
+    """More rows than a block and than an index file, more queries than a file; every neighbour must be found."""
+    for n, x in ((12_000, clustered(12_000, 16, 40, 0.15, 3)), (10_000, vectors(10_000, 16, 4).astype(np.float32).astype(np.float64))):
+        df = table(spark, np.arange(n), x)
+        monkeypatch.setattr(nearest, "FILE_NUMBERS", 16 * 9_000)
+        monkeypatch.setattr(nearest, "FILES", 1)
+        book = nearest.fit(df, most=3000)
+        got = {}
+        for r in nearest.search(nearest.index(df, book), book, F.col("vec_id") % 2 == 0).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert len(got) == n // 2 > nearest.QUERIES
+        for q in range(0, n, 50):
+            score = nearest.cosine(x, x[q][None])
+            assert got[q] == [int(j) for j in np.lexsort((np.arange(n), -score)) if j != q][:5]
+
+
+def test_blocks_out_of_reach_are_skipped(monkeypatch):
+    import pyarrow as pa
+
+    x = nearest._unit(clustered(4000, 16, 20, 0.05, 8))
+    book = nearest.train(x)
+    book = nearest.Codebook(16, book.centroids, book.weight, nearest.coarse(x))
+    dots = x @ book.cells.T
+    order = np.argsort(dots.argmax(1), kind="stable")
+    code = book.encode(x)
+    along, across = book.residuals(x, code)
+    packed = code[:, ::2] | code[:, 1::2] << 4
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(order), pa.array(list(x[order])), pa.array([packed[i].tobytes() for i in order]), pa.array(along[order]), pa.array(across[order]), pa.array(dots.argmax(1)[order].astype(np.int32)), pa.array(dots.max(1)[order])],
+        names=["vec_id", "embedding", "code", "along", "across", "cell", "near"],
+    )
+    monkeypatch.setattr(nearest, "BLOCK", 200)
+    seen = []
+    monkeypatch.setattr(nearest, "_best", lambda total, most, f=nearest._best: (seen.append(total.size), f(total, most))[1])
+    ids = np.arange(0, 4000, 40)
+    score = x[ids] @ x.T
+    score[np.arange(len(ids)), ids] = -2
+    floor = np.sort(score, axis=1)[:, -60]  # as from a sample
+    best, found = nearest.scan([batch], book, ids, x[ids], floor, 5)
+    assert [f.tolist() for f in found] == [np.lexsort((np.arange(4000), -nearest.cosine(x, x[i][None]) + 9 * (np.arange(4000) == i)))[:5].tolist() for i in ids]
+    assert sum(seen) < 0.5 * len(ids) * 4000
+
+
+def test_query_rows_with_one_number(spark):
+    df = spark.createDataFrame([(50, [2.0, 1.0]), (50, [1.0, 2.0]), (1, [1.0, 2.1]), (2, [2.0, 1.1]), (1, [1.0, 2.1])], "vec_id long, embedding array<float>")
+    assert [[i for i, _ in v] for v in run(df).values()] == [[1, 1, 2]]  # the least vector asks; the other isn't its candidate
+
+
 def test_recall_on_the_test_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.orderBy("vec_id").collect()
