@@ -5,7 +5,8 @@ texts; ``verdicts`` rejects texts that break a base rule, and those whose
 transformed statistics lie far from the others of their language and source. Centre
 and scatter are minimum-covariance-determinant estimates: from two deterministic
 starts, concentration steps keep the nearest three quarters of the group and
-re-estimate from them; the start that ends with the smaller determinant counts.
+re-estimate from them, until that lessens no determinant; the start that ends with the
+smaller determinant counts.
 
 A concentration step is one aggregation: distances fall into bins, each with its
 count, sums and sums of products as whole numbers, and running totals over the bins
@@ -15,9 +16,10 @@ many rows after map-side aggregation as any other.
 
 Edge cases: a null or empty text has no words and fails the base rule; null
 languages and sources are values of their own; groups of fewer than ``LEAST``
-documents are pooled by language, then all together, and a pool still smaller
-rejects nothing; repeated rows count and get equal verdicts; an empty table gives an
-empty one. Other columns are carried along; names starting with ``_q_`` are refused.
+documents, too few to estimate a scatter of five statistics, are pooled by language,
+then all together, and a pool still smaller rejects nothing; repeated rows count and get equal verdicts; an empty table gives an
+empty one. Other columns are carried along; names that the operator adds, and those
+of its working columns, are refused.
 """
 
 from __future__ import annotations
@@ -26,17 +28,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import persisted, without
+from ._shared import looked_up, made, persisted, swept, without
 
 #: Features, and the least standard deviation that an estimate may claim for each.
 FEATURES = ("_q_f0", "_q_f1", "_q_f2", "_q_f3", "_q_f4")
 FLOORS = (0.5, 0.05, 0.15, 0.35, 0.12)
 #: Features are whole numbers of this unit, so that sums are exact.
 UNIT = 1000
-#: Documents that a group needs for estimates of its own.
-LEAST = 60
-#: Share of a group that concentration steps keep, as a fraction, and their number.
-KEEP, STEPS = (3, 4), 4
+#: Documents that a group needs for estimates of its own: five for each statistic.
+LEAST = 5 * len(FEATURES)
+#: Share of a group that concentration steps keep, as a fraction, and by how much a step must lessen the log determinant of a factor to count.
+KEEP, LESS = (3, 4), 1e-3
 #: Squared distance from which a text is an outlier: the chi-square quantile of 5 degrees at about 1 - 1e-8.
 CUT = 46.0
 #: Median of chi-square with 5 degrees of freedom.
@@ -114,11 +116,7 @@ def _moments(n: Column, total, product) -> list[Column]:
 
 def _distances(rows: DataFrame, params: DataFrame, small: bool) -> DataFrame:
     """Each row with each estimate of its group, and the squared distance to it."""
-    if small:
-        both = rows.join(F.broadcast(params), "_q_key")
-    else:
-        spread = params.withColumn("_q_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        both = rows.withColumn("_q_salt", F.pmod(F.xxhash64(*FEATURES, "doc_id"), F.lit(64)).cast("int")).join(spread, ["_q_key", "_q_salt"]).drop("_q_salt")
+    both = looked_up(rows, params, ["_q_key"], small, [*FEATURES, "doc_id"])
     for i in range(_D):
         value = F.col(FEATURES[i]).cast("double") / UNIT - F.col(f"m_{i}")
         for k in range(i):
@@ -164,20 +162,36 @@ def _concentrate(rows: DataFrame, params: DataFrame, small: bool) -> DataFrame:
     running = bins.select("_q_key", "_q_start", "b", F.sum("n").over(of).alias("all"), *[F.sum(x).over(upto).alias(x) for x in names])
     enough = running.where(F.col("n") * KEEP[1] >= F.col("all") * KEEP[0])
     nearest = enough.groupBy("_q_key", "_q_start").agg(F.min_by(F.struct(*names), "b").alias("x"))
-    return _factor(nearest.select("_q_key", "_q_start", *_moments(F.col("x.n"), lambda i: F.col(f"x.s_{i}"), lambda i, j: F.col(f"x.p_{i}_{j}"))))
+    out = _factor(nearest.select("_q_key", "_q_start", *_moments(F.col("x.n"), lambda i: F.col(f"x.s_{i}"), lambda i, j: F.col(f"x.p_{i}_{j}"))))
+    size = F.log(F.col("l_0_0"))
+    for i in range(1, _D):
+        size = size + F.log(F.col(f"l_{i}_{i}"))
+    return out.withColumn("_q_size", size)
+
+
+def _converged(rows: DataFrame, starts: DataFrame, small: bool) -> DataFrame:
+    """The estimates of each group and start from which no step lessens the determinant; a step takes those that the one before improved."""
+    mark = made()
+    params = active = persisted(_concentrate(rows, starts, small), "mcd")
+    own = ["_q_key", "_q_start"]
+    while True:
+        new = _concentrate(rows, active.drop("_q_size"), small)
+        before = active.select(*own, F.col("_q_size").alias("_q_old"))
+        better = persisted(new.join(before, own).where(F.col("_q_size") < F.col("_q_old") - LESS).drop("_q_old"), "mcd")
+        if not better.limit(1).count():
+            swept(mark, params)
+            return params
+        params, active = persisted(params.join(better.select(*own), own, "left_anti").unionByName(better), "mcd"), better
+        swept(mark, params, active)
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """(_q_key, centre, Cholesky factor, _q_scale) of each group of ``rows`` (_q_key, features)."""
-    params = persisted(_starts(rows), "mcd")
-    small = params.count() <= 2 * BROADCAST
-    for _ in range(STEPS):
-        params = persisted(_concentrate(rows, params, small), "mcd")
-    names = [c for c in params.columns if c not in ("_q_key", "_q_start")]
-    size = F.log(F.col("l_0_0"))
-    for i in range(1, _D):
-        size = size + F.log(F.col(f"l_{i}_{i}"))
-    best = params.groupBy("_q_key").agg(F.min_by(F.struct(*names), F.struct(F.round(size, 9), "_q_start")).alias("x")).select("_q_key", F.lit(0).alias("_q_start"), *[F.col(f"x.{n}").alias(n) for n in names])
+    starts = persisted(_starts(rows), "mcd")
+    small = starts.count() <= 2 * BROADCAST
+    params = _converged(rows, starts, small)
+    names = [c for c in params.columns if c not in ("_q_key", "_q_start", "_q_size")]
+    best = params.groupBy("_q_key").agg(F.min_by(F.struct(*names), F.struct(F.round("_q_size", 9), "_q_start")).alias("x")).select("_q_key", F.lit(0).alias("_q_start"), *[F.col(f"x.{n}").alias(n) for n in names])
     best = persisted(best, "mcd")
     # The nearest part understates the scatter: the median distance says by how much.
     bins = _distances(rows, best, small).groupBy("_q_key", _bin().alias("b")).agg(F.count("*").alias("n"))
@@ -195,7 +209,7 @@ def _key(level: Column) -> Column:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """``docs`` with the statistics, ``base_failed``, ``distance`` (squared, null if none) and ``kept``."""
-    reserved = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept", "_q_key", "_q_start", "_q_words", "_q_lines", "_q_h", "_q_pairs", "_q_places", *FEATURES)
+    reserved = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept", "_q_key", "_q_own", "_q_level", "_q_enough", "_q_start", "_q_size", "_salt", "_q_words", "_q_lines", "_q_h", "_q_pairs", "_q_places", *FEATURES)
     without(docs, *reserved)
     base = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     stats = persisted(statistics(docs).drop("text").withColumn("base_failed", base).withColumns(_features()), "statistics")
@@ -204,19 +218,19 @@ def verdicts(docs: DataFrame) -> DataFrame:
     sizes = persisted(stats.where(usable).groupBy("lang", "source").agg(F.count("*").alias("n")), "sizes")
     pooled = F.sum(F.when(F.col("n") < LEAST, F.col("n")).otherwise(0)).over(W.partitionBy("lang"))
     levels = sizes.select("lang", "source", F.when(F.col("n") >= LEAST, 0).when(pooled >= LEAST, 1).otherwise(2).alias("_q_level"))
-    levels = levels.withColumnsRenamed({"lang": "_q_lang", "source": "_q_source"})
     few = sizes.count() <= BROADCAST
-    match = F.col("lang").eqNullSafe(F.col("_q_lang")) & F.col("source").eqNullSafe(F.col("_q_source"))
-    keyed = stats.where(usable).join(F.broadcast(levels) if few else levels, match).withColumn("_q_key", _key(F.col("_q_level")))
-    rows = persisted(keyed.drop("_q_lang", "_q_source", "_q_level"), "keyed")
-    enough = rows.groupBy("_q_key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("_q_key")
-    fitted = rows.join(F.broadcast(enough) if few else enough, "_q_key", "left_semi").select("_q_key", "doc_id", *FEATURES)
-    params = estimates(persisted(fitted, "fitted"))
+    # Nulls as values: the key of level 0 stands for language and source.
+    levels = levels.select(_key(F.lit(0)).alias("_q_own"), "_q_level")
+    keyed = looked_up(stats.where(usable).withColumn("_q_own", _key(F.lit(0))), levels, ["_q_own"], few, [*FEATURES, "doc_id"])
+    rows = persisted(keyed.withColumn("_q_key", _key(F.col("_q_level"))).drop("_q_own", "_q_level"), "keyed")
+    counted = persisted(rows.groupBy("_q_key").agg(F.count("*").alias("n")).select("_q_key", (F.col("n") >= LEAST).alias("_q_enough")), "counted")
+    marked = looked_up(rows, counted, ["_q_key"], few, [*FEATURES, "doc_id"])
+    params = estimates(persisted(marked.where("_q_enough").select("_q_key", "doc_id", *FEATURES), "fitted"))
     small = params.count() <= BROADCAST
     judged = _distances(rows, params, small)
     carried = [c for c in stats.columns if c not in FEATURES]
     measured = judged.select(*carried, (F.col("_q_d2") * F.col("_q_scale")).alias("distance"))
-    rest = rows.join(F.broadcast(enough) if few else enough, "_q_key", "left_anti").select(*carried, F.lit(None).cast("double").alias("distance"))
+    rest = marked.where("not _q_enough").select(*carried, F.lit(None).cast("double").alias("distance"))
     failed = stats.where("base_failed").select(*carried, F.lit(None).cast("double").alias("distance"))
     every = measured.unionByName(rest).unionByName(failed)
     return every.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT))

@@ -48,14 +48,35 @@ def estimate(x):
     y = x / 1000
     ends = []
     for mean, cov in ((q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2)), (y.mean(0), np.cov(y.T, bias=True))):
-        for _ in range(quality.STEPS):
-            d = y - mean
-            d2 = np.einsum("ij,ij->i", d, np.linalg.solve(cov + floors, d.T).T)
-            bins = np.floor(np.log2(1 + d2) * 16)
+        last = None
+        while True:
+            bins = binned(squared(y, mean, cov + floors))
             upto = next(b for b in sorted(set(bins)) if (bins <= b).sum() * 4 >= len(y) * 3)
             mean, cov = y[bins <= upto].mean(0), np.cov(y[bins <= upto].T, bias=True)
-        ends.append((np.linalg.det(cov + floors), mean, cov + floors))
-    return min(ends, key=lambda e: round(math.log(e[0]), 6))
+            size = math.log(np.linalg.det(cov + floors)) / 2
+            if last is not None and size >= last[0] - quality.LESS:
+                break
+            last = (size, mean, cov + floors)
+        ends.append(last)
+    return min(ends, key=lambda e: round(e[0], 6))
+
+
+def squared(y, mean, cov):
+    d = y - mean
+    return np.einsum("ij,ij->i", d, np.linalg.solve(cov, d.T).T)
+
+
+def binned(d2):
+    return np.floor(np.log2(1 + d2) * 16)
+
+
+def distances(x):
+    """Squared distances of the rows of one group, scaled so that the median is that of the chi-square."""
+    _, mean, cov = estimate(x)
+    d2 = squared(x / 1000, mean, cov)
+    bins = binned(d2)
+    median = next(b for b in sorted(set(bins)) if (bins <= b).sum() * 2 >= len(x))
+    return d2 * min(1.0, quality.MEDIAN / (2 ** ((median + 1) / 16) - 1))
 
 
 def test_estimates_equal_numpy(spark):
@@ -70,6 +91,43 @@ def test_estimates_equal_numpy(spark):
         assert mean[0] < 6  # the sixth that lies far off has no say
 
 
+def test_verdicts_equal_numpy(spark, monkeypatch):
+    """Distances and verdicts of whole texts against the same rules in numpy, with broadcast and with salted joins."""
+    rng = random.Random(8)
+    word = lambda n=9: "".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, n)))
+    rows = []
+    for i in range(420):
+        words = [word(9 if i % 5 else 4) + ("*#" if rng.random() < 0.002 * (i % 50) else "") for _ in range(rng.randint(10, 200))]
+        rows.append((i, " ".join(words) + ("\n" + " ".join(words[:12])) * (i % 9 == 0) * 2, ("en", "de")[i % 7 == 0], ("s1", "s2", "s3")[i % 3 if i % 7 else 0] if i > 30 else None))
+    stats = [plain(t) for _, t, _, _ in rows]
+    failed = [n < 20 or 100 * r > 30 * n for n, _, _, _, r in stats]
+    spare = [(n, c, s, d, r) if not f else None for (n, c, s, d, r), f in zip(stats, failed, strict=True)]
+    half = lambda v: math.floor(v * 1000 + 0.5)
+    x = {i: [half(v) for v in (math.log(p[0]), math.log(p[1] / p[0]), math.log(1 + 100 * p[2] / p[1]), math.log(1 + p[3]), math.sqrt(p[4] / p[0]))] for i, p in enumerate(spare) if p}
+    groups = {}
+    for i in x:
+        groups.setdefault(rows[i][2:], []).append(i)
+    pooled = {}
+    for (lang, source), own in groups.items():
+        small = [k for k in groups if k[0] == lang and len(groups[k]) < quality.LEAST]
+        level = (lang, source) if len(own) >= quality.LEAST else (lang,) if sum(len(groups[k]) for k in small) >= quality.LEAST else ()
+        pooled.setdefault(level, []).extend(own)
+    want = {}
+    for own in pooled.values():
+        d = distances(np.array([x[i] for i in own], float)) if len(own) >= quality.LEAST else [None] * len(own)
+        want.update(zip(own, d, strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for broadcast in (quality.BROADCAST, -1):
+        monkeypatch.setattr(quality, "BROADCAST", broadcast)
+        got = quality.verdicts(df).collect()
+        assert len(got) == len(rows) and {r.base_failed for r in got} == {True, False}
+        for r in got:
+            d = want.get(r.doc_id)
+            assert r.base_failed == failed[r.doc_id] and (d is None) == (r.distance is None)
+            assert d is None or math.isclose(d, r.distance, rel_tol=1e-6, abs_tol=1e-9)
+            assert r.kept == (not failed[r.doc_id] and (d is None or d <= quality.CUT))
+
+
 def test_verdicts_and_edge_cases(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 9)))
