@@ -58,6 +58,8 @@ def test_taken_is_near_targets_and_equals_sql(spark, tmp_path):
 
 def test_mix_repeats_documents_and_keeps_columns(spark):
     docs = table(spark, 200)
+    docs = docs.unionByName(docs.sparkSession.createDataFrame([(900, "long words " * 150_000, "s1", "x")], docs.schema))
+    assert mixing.plan(docs.select("doc_id", "source", F.size(mixing.words(F.col("text"))).cast("long").alias("_mix_size"))).where("doc_id = 900").first()._mix_size == 300_000
     out = mixing.mix(docs)
     assert out.columns == docs.columns and out.schema == docs.schema
     assert out.count() == mixing.mix(docs).count()
