@@ -1,6 +1,14 @@
 """A corpus pipeline of five stages: toxicity, near duplicates, personal data, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept.
+
+Edge cases: null and empty texts are not toxic, have no near duplicates and no personal
+data, and their sizes are 0, so the mix takes a share of them without changing any
+total; packed, each is its end id alone. Nulls in other columns are values like others,
+a null number too. Repeated rows are near duplicates of each other, so one stays. An
+empty table gives no rows. Further columns pass through to the last stage, which gives
+its own; a column named like a working column of a stage (``score``, ``sequence_id``,
+``offset``, ``_mix_...``, ``_nd_...``) is refused by that stage, not overwritten.
 """
 
 from __future__ import annotations
@@ -9,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import mixing, near_duplicates, packing, pii, toxicity
-from keyloom.llm._shared import persisted
+from keyloom.llm._shared import made, persisted, swept
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``, each kept as a table before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on the documents of ``sf_dir``, each kept as a table before the next; what led to it is deleted then."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = persisted(docs, name.replace(" ", "-"))
+            swept(mark, docs)
     return docs
