@@ -204,6 +204,14 @@ def index(vectors: DataFrame, book: Codebook) -> DataFrame:
     """
     spark, book = vectors.sparkSession, book.bare()
 
+    def place(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                dots = _unit(_matrix(batch.column("embedding"))) @ book.cells.T
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dots.argmax(1).astype(np.int32)), pa.array(dots.max(1))], names=["vec_id", "embedding", "cell", "near"])
+
     def run(batches):
         import pyarrow as pa
 
@@ -215,16 +223,17 @@ def index(vectors: DataFrame, book: Codebook) -> DataFrame:
                 if code.shape[1] % 2:
                     code = np.pad(code, ((0, 0), (0, 1)))
                 packed = code[:, ::2] | code[:, 1::2] << 4
-                dots = x @ book.cells.T
-                cell = dots.argmax(1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(along), pa.array(across), pa.array(cell.astype(np.int32)), pa.array(dots[np.arange(len(x)), cell])], names=["vec_id", "embedding", "code", "along", "across", "cell", "near"])
+                vec_id, embedding, cell, near = batch.columns
+                yield pa.RecordBatch.from_arrays([vec_id, embedding, pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(along), pa.array(across), cell, near], names=["vec_id", "embedding", "code", "along", "across", "cell", "near"])
 
     rows = usable(vectors).where(F.size("embedding") == book.dims)
-    coded = rows.mapInArrow(run, "vec_id long, embedding array<double>, code binary, along double, across double, cell int, near double")
+    # The deal by range looks at its input twice, so rows are coded after it.
+    placed = rows.mapInArrow(place, "vec_id long, embedding array<double>, cell int, near double")
     tasks = 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     file_rows = max(1, min(FILE_NUMBERS // book.dims, max(BLOCK, -(-vectors.count() // tasks))))
     keys = ["cell", F.xxhash64("vec_id")]
-    return persisted(coded.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys), "index", file_rows)
+    dealt = placed.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    return persisted(dealt.mapInArrow(run, "vec_id long, embedding array<double>, code binary, along double, across double, cell int, near double"), "index", file_rows)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
