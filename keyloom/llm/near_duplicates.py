@@ -67,7 +67,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").split()
     if not words:
         return np.empty(0, np.uint64)
-    c = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    c = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), "<u8")
     n = max(1, len(c) - WORDS + 1)
     h = np.zeros(n, np.uint64)
     for k in range(min(WORDS, len(c))):
@@ -245,11 +245,12 @@ def _among(met: DataFrame, apart: DataFrame, sigs: DataFrame) -> DataFrame:
     Chunks of either meet as a grid, so a bucket of any size is many tasks; members of a
     bucket without such members go no further.
     """
-    many = apart.groupBy("bucket").agg(F.count("*").alias("n_apart"))
+    many = persisted(apart.groupBy("bucket").agg(F.count("*").alias("n_apart")), "many")
+    few = many.count() <= BROADCAST
     zero = F.lit(0).cast("long")
-    one = apart.join(many, "bucket").select("bucket", "cid", F.lit(True).alias("apart"), F.pmod(F.xxhash64("cid"), _chunks(F.col("n_apart"))).alias("p"), F.explode(F.sequence(zero, _chunks(F.col("size")) - 1)).alias("q"))
+    one = looked_up(apart, many, ["bucket"], few, ["cid"], 8).select("bucket", "cid", F.lit(True).alias("apart"), F.pmod(F.xxhash64("cid"), _chunks(F.col("n_apart"))).alias("p"), F.explode(F.sequence(zero, _chunks(F.col("size")) - 1)).alias("q"))
     # The first itself was compared with all.
-    other = met.where("cid <> first").join(many, "bucket").select("bucket", "cid", F.lit(False).alias("apart"), F.explode(F.sequence(zero, _chunks(F.col("n_apart")) - 1)).alias("p"), F.pmod(F.xxhash64("cid"), _chunks(F.col("size"))).alias("q"))
+    other = looked_up(met.where("cid <> first"), many, ["bucket"], few, ["cid"], 8).select("bucket", "cid", F.lit(False).alias("apart"), F.explode(F.sequence(zero, _chunks(F.col("n_apart")) - 1)).alias("p"), F.pmod(F.xxhash64("cid"), _chunks(F.col("size"))).alias("q"))
     keys = ["bucket", "p", "q"]
     dealt = one.unionByName(other).join(sigs, "cid").repartition(*keys).sortWithinPartitions(*keys, "cid", "apart").select(*keys, "cid", "apart", "sig")
 
@@ -277,9 +278,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     state, mark = None, made()
     current = persisted(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     while True:
+        few = 2 * (current.count() if state is None else state[0]) <= BROADCAST  # no more nodes than ends of edges
         around = both(current)
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # The node in the middle of a large star has as many rows as neighbours.
+        large = looked_up(around.where("v > u"), least, ["u"], few, ["v"], 8).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = persisted(large, name)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
