@@ -1,8 +1,9 @@
 """Hash functions of integer keys, and reductions to buckets, as column expressions.
 
 ANSI arithmetic refuses overflow, so products are split in halves of sixteen bits;
-every intermediate value stays below 2**53. All functions take and give non-negative
-whole numbers, except ``xxhash64``, whose value ``mod`` folds.
+every intermediate value stays below 2**53. Functions of 32 bits take and give
+non-negative whole numbers; those of 64 bits and ``xxhash64`` give the 64 bits as a
+long, so half of their values are negative, which ``mod`` folds.
 """
 
 from __future__ import annotations
@@ -35,6 +36,52 @@ def murmur32(key: Column) -> Column:
     return x.bitwiseXOR(F.shiftright(x, 16))
 
 
+def _times64(x: Column, c: int) -> Column:
+    """The lower 64 bits of x * c, for any long x and c below 2**64."""
+    low, high = x.bitwiseAND(_MASK32), F.shiftrightunsigned(x, 32)
+    c_low, c_high = c & _MASK32, c >> 32
+    # The product of the lower halves has 64 bits: its lower and upper half apart.
+    first, second = low.bitwiseAND(65535) * c_low, F.shiftright(low, 16) * c_low
+    middle = F.shiftright(first, 16) + second
+    lower = F.shiftleft(middle.bitwiseAND(65535), 16).bitwiseOR(first.bitwiseAND(65535))
+    upper = F.shiftright(middle, 16) + _times32(high, c_low) + _times32(low, c_high)
+    return F.shiftleft(upper.bitwiseAND(_MASK32), 32).bitwiseOR(lower)
+
+
+def fmix64(key: Column) -> Column:
+    """The 64-bit Murmur3 finalizer."""
+    x = key.cast("long")
+    # Fixed values of the published finalizer: shifts 33; multipliers.
+    x = _times64(x.bitwiseXOR(F.shiftrightunsigned(x, 33)), 0xFF51AFD7ED558CCD)
+    x = _times64(x.bitwiseXOR(F.shiftrightunsigned(x, 33)), 0xC4CEB9FE1A85EC53)
+    return x.bitwiseXOR(F.shiftrightunsigned(x, 33))
+
+
+def mult_prime64(key: Column) -> Column:
+    """Multiplicative hashing by the largest prime below 2**64."""
+    return _times64(key.cast("long"), 2**64 - 59)
+
+
+def fibonacci64(key: Column) -> Column:
+    """Multiplicative hashing by 2**64 over the golden ratio."""
+    return _times64(key.cast("long"), 0x9E3779B97F4A7C15)
+
+
+def byte_swapped(key: Column) -> Column:
+    """The eight bytes of a long in the opposite order, as radix trees compare them."""
+    x = key.cast("long")
+    out = F.lit(0).cast("long")
+    for i in range(8):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(x, 8 * i).bitwiseAND(255), 56 - 8 * i))
+    return out
+
+
+def radix_prefix(key: Column, low: int, high: int, bits: int = 12) -> Column:
+    """The upper ``bits`` bits of a key between ``low`` and ``high``, as the upper nodes of a radix tree branch; others are clamped."""
+    shift = max(0, (high - low).bit_length() - bits)
+    return F.shiftrightunsigned(bounded(key.cast("long"), low, high) - low, shift)
+
+
 def murmur64(key: Column) -> Column:
     """Two lanes of ``murmur32`` over the halves of a key, 62 bits."""
     x = key.cast("long")
@@ -59,6 +106,9 @@ HASHES: dict[str, Callable[[Column], Column]] = {
     "murmur64": murmur64,
     "mult_prime32": mult_prime32,
     "fibonacci32": fibonacci32,
+    "fmix64": fmix64,
+    "mult_prime64": mult_prime64,
+    "fibonacci64": fibonacci64,
     "xxhash64": lambda k: F.xxhash64(k.cast("long")),
     "identity": lambda k: k.cast("long"),
 }
@@ -88,13 +138,52 @@ REDUCTIONS: dict[str, Callable] = {"mod": mod, "fast_range": fast_range, "mask":
 
 
 def linear(x: Column, slope: float | Column, intercept: float | Column) -> Column:
-    return x * slope + intercept
+    """A linear model's value."""
+    return slope * x + intercept
 
 
 def bounded(x: Column, low: int | float, high: int | float) -> Column:
+    """``x``, or the bound that it lies beyond."""
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def _xor_shift_sql(x: str, n: int) -> str:
+    return f"xor({x}, {x} >> {n})"
+
+
+def _times64_sql(x: str, c: int) -> str:
+    return f"CAST((CAST({x} AS UHUGEINT) * {c}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+
+
+def _signed_sql(x: str) -> str:
+    return f"CASE WHEN {x} >= 9223372036854775808 THEN CAST(CAST({x} AS HUGEINT) - 18446744073709551616 AS BIGINT) ELSE CAST({x} AS BIGINT) END"
+
+
+def steps64_sql(source: str, steps: list[str], columns: str = "key") -> str:
+    """Common table expressions s0, s1 ... that put a non-negative ``key`` of ``source`` through steps in terms of ``x``, an unsigned long; the last has ``h``, signed."""
+    out = [f"s0 AS (SELECT {columns}, CAST(key AS UBIGINT) AS x FROM {source})"]
+    out += [f"s{i + 1} AS (SELECT {columns}, {step} AS x FROM s{i})" for i, step in enumerate(steps)]
+    return ", ".join([*out, f"hashed AS (SELECT {columns}, {_signed_sql('x')} AS h FROM s{len(steps)})"])
+
+
+def fmix64_steps() -> list[str]:
+    return [_xor_shift_sql("x", 33), _times64_sql("x", 0xFF51AFD7ED558CCD), _xor_shift_sql("x", 33), _times64_sql("x", 0xC4CEB9FE1A85EC53), _xor_shift_sql("x", 33)]
+
+
+def mult64_steps(c: int) -> list[str]:
+    return [_times64_sql("x", c)]
+
+
+def xxhash64_steps(seed: int = 42) -> list[str]:
+    """The published 64-bit hash of eight bytes."""
+    # Fixed values of the published hash: primes, rotations, shifts.
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    turn = lambda x, n: f"CAST(((CAST({x} AS UHUGEINT) << {n}) | (CAST({x} AS UHUGEINT) >> {64 - n})) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+    plus = lambda x, n: f"CAST((CAST({x} AS UHUGEINT) + {n}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+    start = (seed + p5 + 8) % 2**64
+    return [_times64_sql("x", p2), turn("x", 31), _times64_sql("x", p1), f"xor(x, {start}::UBIGINT)", turn("x", 27), _times64_sql("x", p1), plus("x", p4), _xor_shift_sql("x", 33), _times64_sql("x", p2), _xor_shift_sql("x", 29), _times64_sql("x", p3), _xor_shift_sql("x", 32)]
+
+
 def murmur32_sql(x: str) -> str:
     """``murmur32`` in SQL with ``xor``, ``&`` and ``>>``."""
     times = lambda v, c: f"((({v}) & 65535) * {c} + (((({v}) >> 16) * {c}) & 65535) * 65536) & 4294967295"

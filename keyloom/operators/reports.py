@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import scan
+
 
 def best_per_name(results: DataFrame) -> DataFrame:
     """For each name the row with the least ``cpu_time``; ties go to the least row."""
@@ -48,13 +49,43 @@ def of_kind(results: DataFrame, word: str, least: float = 0) -> DataFrame:
 def pareto(results: DataFrame, x: str, y: str) -> DataFrame:
     """Rows that no other row beats in both ``x`` and ``y``, smaller being better.
 
-    The best ``y`` for each ``x`` first, so the window sees one row an ``x``.
+    The best ``y`` for each ``x`` first, then the best of all smaller ``x`` by a running
+    minimum, so any number of them is dealt.
     """
-    best = results.groupBy(x).agg(F.min(y).alias(y))
-    before = F.min(y).over(W.orderBy(x).rowsBetween(W.unboundedPreceding, -1))
-    front = best.withColumn("_before", before).where(F.col("_before").isNull() | (F.col(y) < F.col("_before"))).drop("_before")
+    best = results.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.min(y).alias(y))
+    front = scan(best, [x], before=True, mins={"_before": y}).where(F.col("_before").isNull() | (F.col(y) < F.col("_before"))).drop("_before")
     return results.join(front, [x, y], "left_semi")
 
 
+def by_share(results: DataFrame) -> DataFrame:
+    """Results in order of name and share of point look-ups."""
+    return results.orderBy("name", "point_lookup_percent")
+
+
+def visible(results: DataFrame, hidden: str = "Prefetched") -> DataFrame:
+    """Results whose method doesn't begin with a word."""
+    return results.where(~F.col("method").startswith(hidden))
+
+
+def latency(runs: DataFrame, group: str, nanoseconds: str, operations: str) -> DataFrame:
+    """(group, ns): mean nanoseconds of an operation, over all runs of a group."""
+    return runs.groupBy(group).agg((F.sum(nanoseconds) / F.sum(operations)).alias("ns"))
+
+
+#: Fixed names of data sets and probe distributions in labels, by number.
+DATASETS = ("seq", "gap_10", "uniform", "normal", "wiki", "osm", "fb", "Variance_2", "Variance_4", "Variance_half", "Variance_quarter")
+PROBES = ("uniform", "exponential_sorted", "exponential_random")
+
+
+def named(number: Column, names: tuple[str, ...]) -> Column:
+    """The name with a number; a dash without one."""
+    return F.coalesce(F.get(F.array(*[F.lit(n) for n in names]), number.cast("int")), F.lit("-"))
+
+
+def label(method: Column, dataset: Column, probes: Column) -> Column:
+    """The label of a run, which ``labels`` takes apart."""
+    return F.concat_ws(":", method, named(dataset, DATASETS), named(probes, PROBES))
+
+
 def median_and_min(runs: DataFrame, group: str, value: str) -> DataFrame:
     return runs.groupBy(group).agg(F.min(value).alias("least"), F.percentile_approx(value, 0.5).alias("median"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -24,9 +25,18 @@ def dedupe(df: DataFrame, key: str = "key") -> DataFrame:
     return df.dropDuplicates([key]).orderBy(key)
 
 
-def cdf_partition(df: DataFrame, part: Column, parts: int) -> DataFrame:
-    """``df`` with ``part``, dealt and sorted by it: partitioning by a predicted distribution."""
-    return df.withColumn("part", part).repartition(parts, "part").sortWithinPartitions("part", "key")
+def cdf_partition(df: DataFrame, part: Column, parts: int, most: int = 4) -> DataFrame:
+    """``df`` (key) with ``part`` and ``piece``, dealt and sorted by them: partitioning by a predicted distribution.
+
+    A part with more than ``most`` times the mean of rows is dealt as several pieces, so
+    neither a bad prediction nor a frequent key is one task. ``parts`` bounds the parts.
+    """
+    marked = df.withColumn("part", part)
+    counts = marked.groupBy("part").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_mean", F.avg("_n").over(W.partitionBy()))  # one row a part
+    pieces = counts.select("part", F.when(F.col("_n") > most * F.col("_mean"), F.ceil(F.col("_n") / F.col("_mean"))).otherwise(1).alias("_pieces"))
+    dealt = marked.join(F.broadcast(pieces), "part").withColumn("piece", F.floor(F.rand(0) * F.col("_pieces")).cast("long")).drop("_pieces")
+    return dealt.repartition(parts, "part", "piece").sortWithinPartitions("part", "piece", "key")
 
 
 def cdf_histogram(df: DataFrame, part: Column) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordering import ranked
+from .ordering import scan
+from .tables import runs
 
 
 def occupancy(buckets: DataFrame, n_buckets: int) -> DataFrame:
@@ -24,15 +25,21 @@ def displacement(layout: DataFrame) -> DataFrame:
     return layout.groupBy((F.col("actual") - F.col("ideal")).alias("distance")).agg(F.count("*").alias("keys"))
 
 
+def run_lengths(layout: DataFrame) -> DataFrame:
+    """(keys, runs): how many runs of occupied slots have how many keys. ``layout`` comes from ``tables.linear_probe``."""
+    return runs(layout).groupBy("keys").agg(F.count("*").alias("runs"))
+
+
 def distance_to_empty(layout: DataFrame) -> DataFrame:
     """(distance, slots): steps from each occupied slot to the next empty one.
 
-    Occupied slots form islands with equal slot less rank; the end of its island is the
-    distance. Islands are many, so the window is dealt by island.
+    A run of length n has one slot at each distance from 1 to n, so the lengths of runs
+    say it all: at distance d are as many slots as there are runs of length d or more.
     """
-    islands = ranked(layout.select("actual"), "actual", name="i").withColumn("island", F.col("actual") - F.col("i"))
-    end = F.max("actual").over(W.partitionBy("island"))
-    return islands.withColumn("distance", end - F.col("actual") + 1).groupBy("distance").agg(F.count("*").alias("slots"))
+    lengths = run_lengths(layout)
+    by = W.orderBy("keys")  # one row a length of run
+    steps = lengths.select(F.coalesce(F.lag("keys").over(by), F.lit(0)).alias("_from"), "keys", F.sum("runs").over(by.rowsBetween(0, W.unboundedFollowing)).cast("long").alias("slots"))
+    return steps.select(F.explode(F.sequence(F.col("_from") + 1, F.col("keys"))).alias("distance"), "slots")
 
 
 def primary_ratio(placed: DataFrame, column: str = "primary") -> DataFrame:
@@ -40,14 +47,26 @@ def primary_ratio(placed: DataFrame, column: str = "primary") -> DataFrame:
     return placed.agg(F.avg(F.col(column).cast("double")).alias("ratio"))
 
 
+def primary_ratio_of(placed: DataFrame, keys: DataFrame, column: str = "primary") -> DataFrame:
+    """``primary_ratio`` of the given keys; those that the table lacks, and null ones, don't count."""
+    return primary_ratio(placed.join(keys.select("key").distinct(), "key", "left_semi"), column)
+
+
 def gaps(predicted: DataFrame, n: int) -> DataFrame:
-    """(bin, gaps): differences of neighbouring predictions in units of 1/n, in bins of two hundredths. ``predicted`` has ``cdf``."""
-    placed = ranked(predicted.select("cdf"), "cdf", name="i")
-    after = placed.select((F.col("i") - 1).alias("i"), F.col("cdf").alias("next"))
-    gap = (F.col("next") - F.col("cdf")) * n
-    return placed.join(after, "i").groupBy((F.ceil(gap * 50 - 0.1) * 2).cast("long").alias("bin")).agg(F.count("*").alias("gaps"))
+    """(bin, gaps): differences of neighbouring predictions in units of 1/n, in bins of two hundredths. ``predicted`` has ``cdf``.
+
+    In order, the greatest prediction before a row is the one next to it.
+    """
+    placed = scan(predicted.select("cdf"), ["cdf"], before=True, maxes={"last": "cdf"}).where("last is not null")
+    gap = (F.col("cdf") - F.col("last")) * n
+    return placed.groupBy((F.ceil(gap * 50 - 0.1) * 2).cast("long").alias("bin")).agg(F.count("*").alias("gaps"))
 
 
 def max_collision(predicted: DataFrame) -> DataFrame:
     """One row, ``most``: the most keys that one place gets. ``predicted`` has ``bucket``."""
     return predicted.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
+
+
+def max_guess(predicted: DataFrame) -> DataFrame:
+    """One row, ``most``: the greatest place that a model gives a key. ``predicted`` has ``bucket``."""
+    return predicted.agg(F.max("bucket").alias("most"))

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import models as M
-from ..operators import joins, lookup, reports, sets, sorting, stats, tables
+from ..operators import indexes, joins, lookup, ordering, reports, sets, sorting, stats, tables
 from ..sources import generators as G
 from ..streaming import probe as stream_probe
+from . import grids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,7 +76,7 @@ _INNER = f"WITH {_R}, {_S} SELECT count(*) AS matches FROM s JOIN r USING (key)"
 
 for _strategy in ("chained", "linear_probe", "cuckoo", "gapped", "radix_tree"):
     query(_SEMI, f"join_{_strategy}_semi")(lambda spark, d, x=_strategy: joins.matches(r(spark, d), s_missing(spark, d), x))
-for _strategy in ("hash", "sort_merge", "learned_index", "css_tree", "auto"):
+for _strategy in ("hash", "sort_merge", "learned_index", "css_tree", "learned_sort_merge", "auto"):
     query(_INNER, f"join_{_strategy}_inner")(lambda spark, d, x=_strategy: joins.matches(r(spark, d), s(spark, d), x))
 
 
@@ -89,12 +90,24 @@ def join_hash_bucket_semi(spark, d):
     return joins.bucketed_semi(r(spark, d), s_missing(spark, d), H.mod(H.murmur32(F.col("key")), BUCKETS)).agg(F.count("*").alias("matches"))
 
 
-@query(f"WITH {_K}, p AS (SELECT CAST(round(l_extendedprice * 100) AS BIGINT) AS key FROM lineitem) SELECT count(*) AS matches FROM p WHERE key IN (SELECT key FROM k)")
+def line_prices(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").select(cents("l_extendedprice").alias("key"))
+
+
+_UNEVEN = f"WITH {_K}, p AS (SELECT CAST(round(l_extendedprice * 100) AS BIGINT) AS key FROM lineitem) SELECT count(*) AS matches FROM p WHERE key IN (SELECT key FROM k)"
+
+
+@query(_UNEVEN)
 def join_learned_bucket_semi(spark, d):
-    keys = prices(spark, d)
-    low, high = keys.agg(F.min("key"), F.max("key")).first()
-    probes = table(spark, d, "lineitem").select(cents("l_extendedprice").alias("key"))
-    return joins.bucketed_semi(keys, probes, M.root(F.col("key"), low, high, LEAVES)).agg(F.count("*").alias("matches"))
+    """Both sides by the bucket that a model of the keys predicts."""
+    rmi = M.fit_rmi(prices(spark, d), LEAVES)
+    bucket = lambda df: rmi.predict(df, BUCKETS).select("bucket", "key")
+    return bucket(line_prices(spark, d)).join(bucket(rmi.placed.select("key")), ["bucket", "key"], "left_semi").agg(F.count("*").alias("matches"))
+
+
+for _strategy in ("linear_probe", "gapped", "radix_tree"):
+    query(_UNEVEN, f"join_{_strategy}_uneven_semi")(lambda spark, d, x=_strategy: joins.matches(prices(spark, d), line_prices(spark, d), x))
+query(_UNEVEN.replace("WHERE key IN (SELECT key FROM k)", "JOIN q USING (key)").replace(f"WITH {_K}", "WITH q AS (SELECT CAST(round(o_totalprice * 100) AS BIGINT) AS key FROM orders)"), "join_learned_index_duplicates")(lambda spark, d: joins.matches(table(spark, d, "orders").select(cents("o_totalprice").alias("key"), F.col("o_orderkey").alias("payload")), line_prices(spark, d), "learned_index"))
 
 
 @query(f"WITH {_R}, {_S2}, k AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS rank FROM r) SELECT key, rank, count(*) AS probes FROM s JOIN k USING (key) GROUP BY ALL")
@@ -180,8 +193,29 @@ def lookup_mixed(spark, d):
     return lookup.mixed(r(spark, d), probes(spark, d), 40)
 
 
+_RN = "r AS (SELECT nullif(o_orderkey, 7 * (o_orderkey // 7)) AS key, CAST(round(o_totalprice * 100) AS BIGINT) AS payload FROM orders)"
+_PN = "p AS (SELECT o_orderkey AS probe_id, nullif(o_orderkey, 5 * (o_orderkey // 5)) AS key FROM orders)"
+
+
+def with_nulls(c: str, n: int):
+    """A key that is null for every ``n``-th number."""
+    return F.when(F.col(c) % n != 0, F.col(c))
+
+
+@query(_next_sql(10).replace(_R, _RN).replace(_P, _PN).replace("FROM r)", "FROM r WHERE key IS NOT NULL)"))
+def lookup_next10_xor_nulls(spark, d):
+    o = table(spark, d, "orders")
+    rows = o.select(with_nulls("o_orderkey", 7).alias("key"), cents("o_totalprice").alias("payload"))
+    return lookup.next_xor(rows, o.select(F.col("o_orderkey").alias("probe_id"), with_nulls("o_orderkey", 5).alias("key")), 10)
+
+
+@query(f"WITH {_R}, {_P}, k AS (SELECT key, payload, row_number() OVER (ORDER BY key) - 1 AS pos FROM r), f AS (SELECT probe_id, pos FROM p ASOF JOIN k ON p.key <= k.key), g AS (SELECT probe_id, pos, unnest(range(0, 5)) AS step FROM f) SELECT probe_id, step, k.key, payload FROM g JOIN k ON k.pos = g.pos + g.step")
+def lookup_iterate(spark, d):
+    return lookup.iterate(r(spark, d), probes(spark, d), 5).select("probe_id", F.col("step").cast("long").alias("step"), "key", "payload")
+
+
 def range_queries(spark, d) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderkey % 4 = 0")
+    o = table(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("query_id"), F.col("o_orderkey").alias("lo"), (F.col("o_orderkey") + F.expr("shiftleft(1L, cast(o_orderkey % 11 as int))")).alias("hi"))
 
 
@@ -189,7 +223,7 @@ def parts_relation(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), cents("l_extendedprice").alias("payload"))
 
 
-_RANGES = "WITH q AS (SELECT o_orderkey AS query_id, o_orderkey AS lo, o_orderkey + (1 << (o_orderkey % 11)) AS hi FROM orders WHERE o_orderkey % 4 = 0), c AS (SELECT l_orderkey AS key, count(*) AS n, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS v FROM lineitem GROUP BY 1), a AS (SELECT key, sum(n) OVER (ORDER BY key) AS n, sum(v) OVER (ORDER BY key) AS v FROM c) SELECT query_id, lo, hi, CAST(coalesce(b.n, 0) - coalesce(a.n, 0) AS BIGINT) AS n, CAST(coalesce(b.v, 0) - coalesce(a.v, 0) AS BIGINT) AS total FROM (q ASOF LEFT JOIN a ON q.lo > a.key) ASOF LEFT JOIN a AS b ON q.hi >= b.key"
+_RANGES = "WITH q AS (SELECT o_orderkey AS query_id, o_orderkey AS lo, o_orderkey + (1 << (o_orderkey % 11)) AS hi FROM orders), c AS (SELECT l_orderkey AS key, count(*) AS n, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS v FROM lineitem GROUP BY 1), a AS (SELECT key, sum(n) OVER (ORDER BY key) AS n, sum(v) OVER (ORDER BY key) AS v FROM c) SELECT query_id, lo, hi, CAST(coalesce(b.n, 0) - coalesce(a.n, 0) AS BIGINT) AS n, CAST(coalesce(b.v, 0) - coalesce(a.v, 0) AS BIGINT) AS total FROM (q ASOF LEFT JOIN a ON q.lo > a.key) ASOF LEFT JOIN a AS b ON q.hi >= b.key"
 
 
 @query(_RANGES)
@@ -202,7 +236,27 @@ def range_count_sum_band(spark, d):
     return lookup.ranges_by_band(parts_relation(spark, d), range_queries(spark, d), 64)
 
 
-@query(_RANGES.replace("SELECT query_id, lo, hi, CAST", "SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(total) AS BIGINT) AS total FROM (SELECT CAST").replace("FROM (q ASOF", "FROM (q ASOF") + ")")
+_ODD_RANGES = _RANGES.replace("o_orderkey AS lo, o_orderkey + (1 << (o_orderkey % 11)) AS hi", "nullif(o_orderkey, 5 * (o_orderkey // 5)) AS lo, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey - 1 WHEN o_orderkey % 11 = 1 THEN o_orderkey + 10000 ELSE nullif(o_orderkey, 7 * (o_orderkey // 7)) END AS hi").replace("SELECT query_id, lo, hi, CAST(coalesce(b.n, 0) - coalesce(a.n, 0) AS BIGINT) AS n, CAST(coalesce(b.v, 0) - coalesce(a.v, 0) AS BIGINT) AS total", "SELECT query_id, lo, hi, CAST(CASE WHEN lo <= hi THEN coalesce(b.n, 0) - coalesce(a.n, 0) ELSE 0 END AS BIGINT) AS n, CAST(CASE WHEN lo <= hi THEN coalesce(b.v, 0) - coalesce(a.v, 0) ELSE 0 END AS BIGINT) AS total")
+
+
+def odd_ranges(spark, d) -> DataFrame:
+    """Ranges with null, crossed and far bounds."""
+    k = F.col("o_orderkey")
+    hi = F.when(k % 3 == 0, k - 1).when(k % 11 == 1, k + 10000).otherwise(with_nulls("o_orderkey", 7))
+    return table(spark, d, "orders").select(k.alias("query_id"), with_nulls("o_orderkey", 5).alias("lo"), hi.alias("hi"))
+
+
+@query(_ODD_RANGES)
+def range_odd_prefix(spark, d):
+    return lookup.ranges(parts_relation(spark, d), odd_ranges(spark, d))
+
+
+@query(_ODD_RANGES)
+def range_odd_band(spark, d):
+    return lookup.ranges_by_band(parts_relation(spark, d), odd_ranges(spark, d), 64)
+
+
+@query(f"SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(total) AS BIGINT) AS total FROM ({_RANGES})")
 def range_batch_total(spark, d):
     return lookup.ranges(parts_relation(spark, d), range_queries(spark, d)).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
@@ -244,11 +298,23 @@ def hash_murmur64(spark, d):
     return prices(spark, d).select("key", H.murmur64(F.col("key")).alias("h"))
 
 
-@query()
+@query(f"WITH {_R}, {H.steps64_sql('r', H.xxhash64_steps())} SELECT ((h % {BUCKETS}) + {BUCKETS}) % {BUCKETS} AS bucket, count(*) AS keys FROM hashed GROUP BY 1")
 def hash_xxhash64_bucket(spark, d):
     return r(spark, d).groupBy(H.mod(H.HASHES["xxhash64"](F.col("key")), BUCKETS).alias("bucket")).agg(F.count("*").alias("keys"))
 
 
+for _name, _steps in (("fmix64", H.fmix64_steps()), ("mult_prime64", H.mult64_steps(2**64 - 59)), ("fibonacci64", H.mult64_steps(0x9E3779B97F4A7C15))):
+    query(f"WITH {_K}, {H.steps64_sql('k', _steps)} SELECT key, h FROM hashed", f"hash_{_name}")(lambda spark, d, x=_name: prices(spark, d).select("key", H.HASHES[x](F.col("key")).alias("h")))
+
+
+_BYTES = " || ".join(f"lpad(to_hex((key >> {8 * i}) & 255), 2, '0')" for i in range(8))
+
+
+@query(f"WITH {_K} SELECT key, {_BYTES} AS swapped FROM k")
+def hash_byte_swapped(spark, d):
+    return prices(spark, d).select("key", F.lpad(F.hex(H.byte_swapped(F.col("key"))), 16, "0").alias("swapped"))
+
+
 # Models
 
 _RANK = f"{_K}, b AS (SELECT count(*) AS n, min(key) AS lo, max(key) AS hi FROM k), y AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS rank FROM k)"
@@ -265,9 +331,8 @@ hit AS (SELECT key, rank, cdf, CAST(least(greatest(floor(cdf * {BUCKETS}), 0), {
 
 
 def predicted(spark, d, n: int = BUCKETS) -> DataFrame:
-    keys = prices(spark, d)
-    low, high = keys.agg(F.min("key"), F.max("key")).first()
-    return M.predict_rmi(M.rank_model(keys), M.train_rmi(keys, LEAVES), low, high, LEAVES, n)
+    rmi = M.fit_rmi(prices(spark, d), LEAVES)
+    return rmi.predict(rmi.placed, n)
 
 
 @query(f"WITH {_RANK} SELECT key, rank FROM y")
@@ -287,14 +352,53 @@ def model_rmi_predict(spark, d):
 
 @query(f"WITH {_RMI} SELECT round(max(abs(cdf * n - rank)), 6) AS worst, round(avg(abs(cdf * n - rank)), 6) AS mean FROM hit, b")
 def model_rmi_error(spark, d):
-    p = predicted(spark, d).persist()
-    error = F.abs(F.col("cdf") * p.count() - F.col("rank"))
-    return p.agg(F.round(F.max(error), 6).alias("worst"), F.round(F.avg(error), 6).alias("mean"))
+    rmi = M.fit_rmi(prices(spark, d), LEAVES)
+    error = F.abs(F.col("cdf") * rmi.n - F.col("rank"))
+    return rmi.predict(rmi.placed, BUCKETS).agg(F.round(F.max(error), 6).alias("worst"), F.round(F.avg(error), 6).alias("mean"))
 
 
-@query()
+@query(f"WITH {_RMI}, e AS (SELECT leaf, max(abs(CAST(least(greatest(floor(cdf * n), 0), n - 1) AS BIGINT) - rank)) AS error FROM (SELECT hit.*, {_ROOT} AS leaf, n FROM hit, b) GROUP BY leaf) SELECT leaf, CAST(coalesce(error, 0) AS BIGINT) AS error FROM rmi LEFT JOIN e USING (leaf)")
+def model_rmi_leaf_errors(spark, d):
+    return M.with_errors(M.fit_rmi(prices(spark, d), LEAVES)).select("leaf", "error")
+
+
+@query(f"WITH {_RMI} SELECT CAST(max(least(greatest(floor(cdf * n), 0), n - 1)) AS BIGINT) AS most FROM hit, b")
+def model_max_guess(spark, d):
+    rmi = M.fit_rmi(prices(spark, d), LEAVES)
+    return stats.max_guess(rmi.predict(rmi.placed, rmi.n))
+
+
+_BOTH = "u AS (SELECT CAST(round(o_totalprice * 100) AS BIGINT) AS key FROM orders UNION ALL SELECT CAST(round(l_extendedprice * 100) AS BIGINT) FROM lineitem)"
+
+
+@query(f"WITH {_BOTH}, b AS (SELECT min(key) AS lo, max(key) AS hi FROM u), y AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS rank FROM u), t AS (SELECT {_ROOT} AS leaf, key, rank FROM y, b) SELECT leaf, count(*) AS keys, max(rank) AS last FROM t GROUP BY leaf")
+def model_rmi_two_relations(spark, d):
+    """What the leaves of one model of two relations hold."""
+    rmi = M.fit_both(table(spark, d, "orders").select(cents("o_totalprice").alias("key")), line_prices(spark, d), LEAVES)
+    return rmi.placed.groupBy(M.root(F.col("key"), rmi.low, rmi.high, LEAVES).alias("leaf")).agg(F.count("*").alias("keys"), F.max("rank").alias("last"))
+
+
+def _pieces_sql(eps: int) -> str:
+    """The largest aligned stretches of ranks whose chord is within ``eps``, by trying all levels."""
+    least = int(math.log2(eps + 1))
+    return f"""{_RANK}, lv AS (SELECT level FROM (SELECT unnest(range({least}, 40)) AS level), b WHERE level = {least} OR (CAST(1 AS BIGINT) << (level - 1)) < n),
+every AS (SELECT key, rank, level, rank >> level AS i FROM y, lv),
+ends AS (SELECT level, i, min(key) AS x0, max(key) AS x1, min(rank) AS y0, max(rank) AS y1, CASE WHEN max(key) > min(key) THEN CAST(max(rank) - min(rank) AS DOUBLE) / (max(key) - min(key)) ELSE 0e0 END AS slope FROM every GROUP BY ALL),
+fits AS (SELECT level, i FROM every JOIN ends USING (level, i) GROUP BY ALL HAVING max(abs(y0 + slope * (key - x0) - rank)) <= {eps}),
+pieces AS (SELECT x0 AS first_key, slope, y0 AS first_rank, y1 - y0 + 1 AS n FROM fits f JOIN ends USING (level, i) WHERE NOT EXISTS (SELECT 1 FROM fits g WHERE g.level > f.level AND g.i = f.i >> (g.level - f.level)))"""
+
+
+@query(f"WITH {_pieces_sql(16)} SELECT first_key, round(slope, 12) AS slope, first_rank, n FROM pieces")
 def model_pgm(spark, d):
-    return M.segments(prices(spark, d), 16.0)
+    return M.segments(prices(spark, d), 16.0).select("first_key", F.round("slope", 12).alias("slope"), "first_rank", "n")
+
+
+@query(f"WITH {_pieces_sql(4)}, w AS (SELECT min(first_key) AS lo, (SELECT hi FROM b) AS hi FROM pieces) SELECT (first_key - lo) >> greatest(0, CAST(floor(log2(hi - lo)) AS INTEGER) + 1 - 10) AS prefix, min(first_key) AS first_key FROM pieces, w GROUP BY 1")
+def model_radix_spline(spark, d):
+    """The radix table over the pieces of a spline with an error of four places."""
+    keys = prices(spark, d)
+    low, high = keys.agg(F.min("key"), F.max("key")).first()
+    return M.radix_table(M.segments(keys, 4.0), 10, low, high)
 
 
 @query(f"WITH {_RANK}, s AS (SELECT key AS first_key, rank AS first_rank, lead(rank) OVER w AS r1, lead(key) OVER w AS k1, (n + 63) // 64 AS step, n FROM y, b WHERE rank % ((n + 63) // 64) = 0 WINDOW w AS (ORDER BY key)) SELECT first_key, round(coalesce(CAST(r1 - first_rank AS DOUBLE) / (k1 - first_key), 0e0), 12) AS slope, first_rank, least(step, n - first_rank) AS n FROM s")
@@ -316,6 +420,20 @@ def table_chained_layout(spark, d):
     return tables.chained(r(spark, d).select("key"), bucket(), 4)
 
 
+_LAYOUT = "SELECT key, bucket, (rn - 1) // 4 AS chain_pos, (rn - 1) % 4 AS slot FROM (SELECT key, bucket, row_number() OVER (PARTITION BY bucket ORDER BY key) AS rn FROM "
+
+
+@query(f"WITH {_RMI} {_LAYOUT} hit)")
+def table_chained_model_layout(spark, d):
+    p = predicted(spark, d).select("key", F.col("bucket").alias("b"))
+    return tables.chained(p, F.col("b"), 4).drop("b")
+
+
+@query(f"WITH {_RANK} {_LAYOUT} (SELECT key, rank % {BUCKETS} AS bucket FROM y))")
+def table_chained_rank_layout(spark, d):
+    return tables.chained(M.rank_model(prices(spark, d)), F.col("rank") % BUCKETS, 4).drop("rank")
+
+
 def _occupancy_sql(source: str) -> str:
     return f"SELECT n AS keys, count(*) AS buckets FROM (SELECT coalesce(c.n, 0) AS n FROM (SELECT unnest(range(0, {BUCKETS})) AS bucket) b LEFT JOIN (SELECT bucket, count(*) AS n FROM ({source}) GROUP BY 1) c USING (bucket)) GROUP BY 1"
 
@@ -345,7 +463,51 @@ def probed(spark, d) -> DataFrame:
 
 @query(f"WITH {_PROBE} SELECT key, ideal, actual FROM a")
 def table_linear_probe_layout(spark, d):
-    return probed(spark, d)
+    return probed(spark, d).select("key", "ideal", "actual")
+
+
+def _slots_sql(ideal: str, size: int = 1) -> str:
+    """A layout by linear probing of ``h`` (key, ideal), after other common table expressions."""
+    return f"{ideal}, i AS (SELECT key, ideal, row_number() OVER (ORDER BY ideal, key) - 1 AS i FROM h), a AS (SELECT key, ideal, i + max(ideal * {size} - i) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS actual FROM i)"
+
+
+_MODEL_SLOTS = _RMI + ", h AS (SELECT key, CAST(least(greatest(floor(cdf * ((n * 4) // 3)), 0), (n * 4) // 3 - 1) AS BIGINT) AS ideal FROM hit, b)"
+
+
+def model_slots(spark, d) -> DataFrame:
+    """Prices spread by a model over a third more slots than there are keys."""
+    rmi = M.fit_rmi(prices(spark, d), LEAVES)
+    placed = rmi.predict(rmi.placed.select("key"), rmi.n * 4 // 3).select("key", F.col("bucket").alias("slot"))
+    return tables.linear_probe(placed, F.col("slot")).select("key", "ideal", "actual", "run")
+
+
+@query(f"WITH {_slots_sql(_MODEL_SLOTS)} SELECT key, ideal, actual FROM a")
+def table_probe_model_layout(spark, d):
+    return model_slots(spark, d).select("key", "ideal", "actual")
+
+
+@query(f"WITH {_slots_sql(_RANK + ', h AS (SELECT key, (rank * 7) % ((n * 4) // 3) AS ideal FROM y, b)')} SELECT key, ideal, actual FROM a")
+def table_probe_rank_layout(spark, d):
+    keys = M.rank_model(prices(spark, d))
+    return tables.linear_probe(keys, (F.col("rank") * 7) % (keys.count() * 4 // 3)).select("key", "ideal", "actual")
+
+
+@query(f"WITH {_slots_sql(_R + ', h AS (SELECT key, ' + H.murmur32_sql('key') + ' % (SELECT (count(*) * 4) // 12 FROM r) AS ideal FROM r)', 4)} SELECT key, ideal, actual, actual // 4 AS bucket FROM a")
+def table_probe_buckets_layout(spark, d):
+    """Linear probing over buckets of four."""
+    keys = r(spark, d).select("key")
+    layout = tables.linear_probe(keys, H.mod(H.murmur32(F.col("key")), keys.count() * 4 // 12), 4)
+    return layout.select("key", "ideal", "actual", F.floor(F.col("actual") / 4).alias("bucket"))
+
+
+@query(f"WITH {_slots_sql(_MODEL_SLOTS)}, o AS (SELECT actual - row_number() OVER (ORDER BY actual) AS run FROM a) SELECT keys, count(*) AS runs FROM (SELECT count(*) AS keys FROM o GROUP BY run) GROUP BY 1")
+def stats_gapped_runs(spark, d):
+    return stats.run_lengths(model_slots(spark, d))
+
+
+@query("SELECT key, first, rows FROM (SELECT l_partkey AS key, min(rk) - 1 AS first, count(*) AS rows FROM (SELECT l_partkey, rank() OVER (ORDER BY l_partkey) AS rk FROM lineitem) GROUP BY 1)")
+def window_first_duplicate(spark, d):
+    return ordering.first_places(table(spark, d, "lineitem").select(F.col("l_partkey").alias("key")))
 
 
 @query(f"WITH {_PROBE} SELECT actual - ideal AS distance, count(*) AS keys FROM a GROUP BY 1")
@@ -379,16 +541,42 @@ def stats_cuckoo_primary_ratio(spark, d):
     return stats.primary_ratio(tables.cuckoo_primary(candidates(spark, d), 8))
 
 
+@query(f"WITH {_RMI} SELECT key, bucket AS b1, CASE WHEN bucket = b2 THEN (b2 + 1) % {BUCKETS} ELSE b2 END AS b2 FROM (SELECT key, bucket, {H.murmur32_sql('key')} % {BUCKETS} AS b2 FROM hit)")
+def table_cuckoo_model_candidates(spark, d):
+    """The first bucket from a model, the second from a hash alone."""
+    p = predicted(spark, d).select("key", "bucket")
+    return tables.cuckoo_candidates(p, F.col("bucket"), H.mod(H.murmur32(F.col("key")), BUCKETS), BUCKETS).drop("bucket")
+
+
+@query(f"WITH {_CANDIDATES} SELECT avg(CASE WHEN rn <= 8 THEN 1e0 ELSE 0e0 END) AS ratio FROM (SELECT key, row_number() OVER (PARTITION BY b1 ORDER BY key) AS rn FROM c) WHERE key IN (SELECT l_orderkey * 2 FROM lineitem)")
+def stats_cuckoo_primary_ratio_of_keys(spark, d):
+    return stats.primary_ratio_of(tables.cuckoo_primary(candidates(spark, d), 8), s_missing(spark, d))
+
+
+def cuckoo_table(spark, d) -> DataFrame:
+    h = H.murmur32(F.col("key"))
+    keys = r(spark, d).select("key")
+    n = tables.directory_size(keys.count(), 4, 34)
+    return tables.cuckoo_layout(tables.cuckoo_candidates(keys, H.mod(h, n), H.mod(H.murmur32(h.bitwiseXOR(F.lit(408957))), n), n), 4)
+
+
 @query()
 def table_cuckoo_layout(spark, d):
-    keys = r(spark, d).select("key")
-    return tables.cuckoo_layout(keys, tables.directory_size(keys.count(), 4, 34), 4)
+    return cuckoo_table(spark, d)
+
+
+@query("SELECT count(*) AS keys, count(*) AS placed, 1 AS fits FROM orders")
+def table_cuckoo_invariants(spark, d):
+    """Every key in one of its two buckets, none of which holds more than four."""
+    t = cuckoo_table(spark, d)
+    per = t.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.col("bucket").isin(F.col("b1"), F.col("b2")).cast("long")).alias("ok"))
+    return per.agg(F.sum("n").alias("keys"), F.sum("ok").alias("placed"), (F.max("n") <= 4).cast("int").alias("fits"))
 
 
 @query(f"WITH {_RMI}, o AS (SELECT cdf, lead(cdf) OVER (ORDER BY cdf) AS nxt FROM hit) SELECT CAST(ceil((nxt - cdf) * n * 50 - 0.1e0) * 2 AS BIGINT) AS bin, count(*) AS gaps FROM o, b WHERE nxt IS NOT NULL GROUP BY 1")
 def stats_gap_histogram(spark, d):
-    p = predicted(spark, d).persist()
-    return stats.gaps(p, p.count())
+    rmi = M.fit_rmi(prices(spark, d), LEAVES)
+    return stats.gaps(rmi.predict(rmi.placed, BUCKETS), rmi.n)
 
 
 @query(f"WITH {_RMI} SELECT max(n) AS most FROM (SELECT count(*) AS n FROM hit GROUP BY bucket)")
@@ -401,6 +589,35 @@ def stats_table_bytes(spark, d):
     return tables.chained_bytes(r(spark, d).select(bucket().alias("bucket")), BUCKETS, 4)
 
 
+@query(f"WITH {_R}, n AS (SELECT count(*) AS n FROM r) SELECT kind, table_bytes, table_bytes * 8e0 / n AS bits_per_key FROM n, LATERAL (VALUES ('cuckoo', CAST(((n * 134 + 100) // 400) * 4 * 16 AS BIGINT)), ('probe', CAST(((n * 134 + 100) // 100) * 16 AS BIGINT)), ('probe model', CAST(((n * 134 + 100) // 100) * 16 + 1616 AS BIGINT)), ('rank', CAST(ceil(n * 8.375e0) AS BIGINT))) v(kind, table_bytes)")
+def stats_all_table_bytes(spark, d):
+    keys = r(spark, d).select("key")
+    n = keys.count()
+    kinds = {"cuckoo": tables.open_bytes(keys, tables.directory_size(n, 4, 34), 4), "probe": tables.open_bytes(keys, tables.directory_size(n, 1, 34), 1), "probe model": tables.open_bytes(keys, tables.directory_size(n, 1, 34), 1, model_bytes=tables.model_bytes(LEAVES)), "rank": tables.rank_bytes(keys)}
+    out = None
+    for kind, sized in kinds.items():
+        row = sized.select(F.lit(kind).alias("kind"), "table_bytes", "bits_per_key")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# Grids: a table for each choice of parameters.
+
+@query(grids.chained_sql("orders", "o_orderkey", (0, 34, 100, 300, 10050)))
+def sweep_chained(spark, d):
+    return grids.chained(r(spark, d).select("key"), (0, 34, 100, 300, 10050))
+
+
+@query(grids.probe_sql("orders", "o_orderkey", (34, 122, 300)))
+def sweep_probe(spark, d):
+    return grids.probe(r(spark, d).select("key"), (34, 122, 300))
+
+
+@query(grids.matrix_sql())
+def sweep_joins(spark, d):
+    return grids.matrix(spark, {"orders": (r(spark, d), s(spark, d)), "misses": (r(spark, d), s_missing(spark, d))}, ("auto", "css_tree", "chained", "linear_probe", "miss"))
+
+
 # Sorting
 
 @query("SELECT l_orderkey AS key, l_linenumber AS line FROM lineitem ORDER BY 1, 2")
@@ -481,7 +698,11 @@ def gen_variance_4(spark, d):
     return G.variance(spark, _n(spark, d), G.VARIANCES["variance_4"])
 
 
-@query()
+_Z = "floor(sqrt(-2e0 * ln({a})) * cos(6.283185307179586 * {b}) * 1e9) / 1e9"
+_NORMAL = _Z.format(a=_unit_sql("id", 0, 1), b=_unit_sql("id", 0, 2))
+
+
+@query(f"WITH {_IDS}, z AS (SELECT {_NORMAL} AS z FROM i) SELECT DISTINCT CAST(floor((least(greatest(z * 20 + 100, 40e0), 160e0) - 40) * 1099511627776e0) AS BIGINT) AS key FROM z")
 def gen_normal(spark, d):
     return G.normal(spark, _n(spark, d))
 
@@ -501,12 +722,38 @@ def gen_holes(spark, d):
     return G.holes(spark, _n(spark, d))
 
 
-@query()
+@query(f"WITH {_IDS}, z AS (SELECT id, {_NORMAL} AS z FROM i) SELECT CAST(floor(abs(exp(z * 1e0)) * ((SELECT count(*) FROM orders) / 10e0)) AS BIGINT) AS key, id AS payload FROM z")
 def gen_lognormal(spark, d):
     n = _n(spark, d)
     return G.skewed(spark, n, "lognormal", n / 10)
 
 
+@query(f"WITH {_IDS}, z AS (SELECT id, {_NORMAL} AS z FROM i) SELECT CAST(floor(abs(z) * 100e0) AS BIGINT) AS key, id AS payload FROM z")
+def gen_normal_fk(spark, d):
+    return G.skewed(spark, _n(spark, d), "normal", 100.0)
+
+
+@query(f"WITH {_IDS} SELECT CAST(floor(abs(-ln({_unit_sql('id', 0)})) * 100e0) AS BIGINT) AS key, id AS payload FROM i")
+def gen_exponential_fk(spark, d):
+    return G.skewed(spark, _n(spark, d), "exponential", 100.0)
+
+
+@query(f"WITH {_IDS} SELECT {H.murmur32_sql(f'xor(id, {G.mixed(0)})')} AS key FROM i")
+def gen_unique32(spark, d):
+    return G.unique32(spark, _n(spark, d))
+
+
+for _name, _factor in (("variance_2", "1.414e0"), ("variance_half", "(1 / 1.414e0)"), ("variance_quarter", "0.5e0")):
+    query(f"WITH {_IDS}, {_UNIFORM}, e AS (SELECT key, (row_number() OVER (ORDER BY key) - 1) * (1099511627776e0 / (SELECT count(*) FROM i)) AS even FROM u) SELECT DISTINCT CAST(greatest(floor(even + (key - even) * {_factor}), 0) AS BIGINT) AS key FROM e", f"gen_{_name}")(lambda spark, d, x=_name: G.variance(spark, _n(spark, d), G.VARIANCES[x]))
+
+
+@query("SELECT CASE WHEN epoch_us(ts) = m THEN m - 1 ELSE epoch_us(ts) END AS key, CASE WHEN epoch_us(ts) = m THEN m - 1 ELSE epoch_us(ts) END AS payload FROM events, (SELECT max(epoch_us(ts)) AS m FROM events)")
+def gen_de_sentinel(spark, d):
+    """Times as their own payloads, the greatest taken for a sentinel."""
+    times = table(spark, d, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("key"))
+    return G.self_payload(G.de_sentinel(times, times.agg(F.max("key")).first()[0]))
+
+
 @query(f"WITH {_IDS} SELECT CAST(floor({_unit_sql('id', 0)} * 500) AS BIGINT) AS key, id AS payload FROM i")
 def gen_uniform_fk(spark, d):
     return G.skewed(spark, _n(spark, d), "uniform", 500)
@@ -528,12 +775,12 @@ def probe_uniform_mix(spark, d):
     return G.probes(r(spark, d), _n(spark, d), 0.8, seed=3)
 
 
-@query()
+@query(f"WITH {_R}, k AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS place FROM r), p AS (SELECT probe_id, k.key, {_unit_sql('probe_id', 4, 5)} < 0.9e0 AS hits FROM (SELECT o_orderkey AS probe_id, CAST(floor(least(-ln({_unit_sql('o_orderkey', 4)}) / 10, 1 - 1e-12) * (SELECT count(*) FROM orders)) AS BIGINT) AS place FROM orders) JOIN k USING (place)), m AS (SELECT probe_id, hits, CASE WHEN hits THEN key ELSE key + 1 + CAST(floor({_unit_sql('probe_id', 4, 6)} * 331777) AS BIGINT) END AS near FROM p) SELECT probe_id, CASE WHEN hits OR near NOT IN (SELECT key FROM r) THEN near ELSE (SELECT min(key) FROM r) - 1 - probe_id END AS key FROM m")
 def probe_exponential(spark, d):
     return G.probes(r(spark, d), _n(spark, d), 0.9, "exponential_sorted", 4)
 
 
-@query()
+@query(f"WITH {_R}, {_IDS}, k AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS place FROM r), q AS (SELECT id AS query_id, CAST(floor({_unit_sql('id', 0)} * (SELECT count(*) FROM r)) AS BIGINT) AS place, CAST(1 AS BIGINT) << (id % 11) AS step FROM i) SELECT query_id, a.key AS lo, b.key AS hi FROM q JOIN k a ON a.place = q.place JOIN k b ON b.place = least(q.place + step, (SELECT count(*) FROM r) - 1)")
 def probe_ranges(spark, d):
     return G.range_queries(r(spark, d), _n(spark, d))
 
@@ -575,6 +822,25 @@ def report_labels(spark, d):
     return out.groupBy("name", "method", "dataset", "probe_distribution", "range_size").agg(F.count("*").alias("rows"))
 
 
+@query(f"WITH {_RUNS} SELECT label, round(CAST(sum(CAST(cpu_time AS DECIMAL(18,2))) AS DOUBLE) / sum(data_elem_count), 9) AS ns FROM r GROUP BY 1")
+def report_latency(spark, d):
+    # Sums of cents and of whole numbers, so their order doesn't matter.
+    exact = runs(spark, d).withColumn("cpu_time", F.col("cpu_time").cast("decimal(18,2)"))
+    out = reports.latency(exact, "label", "cpu_time", "data_elem_count")
+    return out.select("label", F.round("ns", 9).alias("ns"))
+
+
+@query(f"WITH {_RUNS} SELECT name, count(*) AS rows FROM r WHERE NOT starts_with(label, 'A') GROUP BY 1")
+def report_visible(spark, d):
+    return reports.visible(reports.labels(runs(spark, d)), "A").groupBy("name").agg(F.count("*").alias("rows"))
+
+
+@query("SELECT o_orderkey AS run, 'RMI:' || CASE o_orderkey % 12 WHEN 0 THEN 'seq' WHEN 1 THEN 'gap_10' WHEN 2 THEN 'uniform' WHEN 3 THEN 'normal' WHEN 4 THEN 'wiki' WHEN 5 THEN 'osm' WHEN 6 THEN 'fb' WHEN 7 THEN 'Variance_2' WHEN 8 THEN 'Variance_4' WHEN 9 THEN 'Variance_half' WHEN 10 THEN 'Variance_quarter' ELSE '-' END || ':' || CASE o_orderkey % 3 WHEN 0 THEN 'uniform' WHEN 1 THEN 'exponential_sorted' ELSE 'exponential_random' END AS label FROM orders")
+def report_named_labels(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(k.alias("run"), reports.label(F.lit("RMI"), k % 12, k % 3).alias("label"))
+
+
 # Streaming: events as probes of customers, in micro-batches.
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS matches FROM events WHERE user_id IN (SELECT c_custkey FROM customer) GROUP BY 1")

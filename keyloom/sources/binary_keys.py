@@ -40,8 +40,6 @@ class KeyReader(DataSourceReader):
         return [KeyRange(self.path, at, min(self.each, count - at)) for at in range(0, count, self.each)] or [KeyRange(self.path, 0, 0)]
 
     def read(self, partition: KeyRange):
-        import decimal
-
         import numpy as np
         import pyarrow as pa
 
@@ -54,9 +52,10 @@ class KeyReader(DataSourceReader):
             raise ValueError(f"{partition.path} is shorter than its count says")
         for at in range(0, len(keys), 100_000):
             some = keys[at : at + 100_000]
-            wide = some[some > np.uint64(2**63 - 1)] if self.width == 8 else []
-            values = pa.array([decimal.Decimal(int(k)) for k in some], pa.decimal128(20, 0)) if len(wide) else pa.array(some.astype(np.int64)).cast(pa.decimal128(20, 0))
-            yield pa.RecordBatch.from_arrays([values], names=["key"])
+            # A decimal is a little-endian 128-bit number: the key, then zeros.
+            wide = np.zeros((len(some), 2), "<u8")
+            wide[:, 0] = some
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.decimal128(20, 0), len(some), [None, pa.py_buffer(wide.tobytes())])], names=["key"])
 
 
 class BinaryKeys(DataSource):
@@ -83,10 +82,20 @@ def read_keys(spark: SparkSession, path: str, width: int = 8, dedupe: bool = Tru
 
 
 def write_keys(keys: DataFrame, path: str, width: int = 8) -> None:
-    """Writes a bounded key set to one local file, a partition at a time."""
-    ordered = keys.select("key").orderBy("key").persist()
+    """Writes a key set to one local file, in order: executors pack the keys, the driver appends a batch at a time."""
+
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            # As above: the lower half of each decimal.
+            low = np.frombuffer(batch.column(0).buffers()[1], "<u8")[2 * batch.column(0).offset :][: 2 * batch.num_rows : 2]
+            yield pa.RecordBatch.from_arrays([pa.array([low.astype(f"<u{width}").tobytes()], pa.binary())], names=["packed"])
+
+    ordered = keys.select(F.col("key").cast("decimal(20,0)").alias("key")).where("key is not null").orderBy("key").persist()
     with open(path, "wb") as out:
         out.write(ordered.count().to_bytes(8, "little"))
-        for row in ordered.toLocalIterator():
-            out.write(int(row.key).to_bytes(width, "little"))
+        for row in ordered.mapInArrow(pack, "packed binary").toLocalIterator():
+            out.write(row.packed)
     ordered.unpersist()

@@ -29,7 +29,8 @@ def unit(i: Column, seed: int, stream: int = 0) -> Column:
 
 
 def _normal(i: Column, seed: int) -> Column:
-    return F.sqrt(-2.0 * F.log(unit(i, seed, 1))) * F.cos(6.283185307179586 * unit(i, seed, 2))
+    """A standard normal number, cut to nine decimals so that no last bit of a logarithm decides."""
+    return F.floor(F.sqrt(-2.0 * F.log(unit(i, seed, 1))) * F.cos(6.283185307179586 * unit(i, seed, 2)) * 1e9) / 1e9
 
 
 def sequential(spark: SparkSession, n: int) -> DataFrame:
@@ -66,6 +67,16 @@ def normal(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     return spark.range(n).select(F.floor((x - 40) * TWO40).alias("key")).distinct()
 
 
+def unique32(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    """``n`` distinct keys below 2**32: the finalizer is one to one, so row numbers give them without a look at others."""
+    return spark.range(n).select(murmur32(F.col("id").bitwiseXOR(F.lit(mixed(seed)))).alias("key"))
+
+
+def tuples(spark: SparkSession, keys: list[int], payloads: list[int] | None = None) -> DataFrame:
+    """A relation of given keys; payloads are places unless given."""
+    return spark.createDataFrame([(k, i if payloads is None else payloads[i]) for i, k in enumerate(keys)], "key long, payload long")
+
+
 def band(keys: DataFrame, low: float, high: float, offset: int) -> DataFrame:
     """Keys whose binary logarithm lies in a band, less an offset."""
     return keys.where((F.col("key") > 0) & F.log2("key").between(low, high)).select((F.col("key") - offset).alias("key"))
@@ -79,6 +90,33 @@ def osm(keys: DataFrame) -> DataFrame:
     return band(keys, 62.01, 62.99, 1 << 62)
 
 
+def wiki(keys: DataFrame) -> DataFrame:
+    """Keys as they are stored."""
+    return keys.select("key")
+
+
+#: Stored data sets: file, bytes a key takes, and what becomes of the keys.
+STORED = {"fb": ("fb_200M_uint64", 8, fb), "osm": ("osm_cellids_200M_uint64", 8, osm), "wiki": ("wiki_ts_200M_uint64", 8, wiki), "books64": ("books_200M_uint64", 8, wiki), "books32": ("books_200M_uint32", 4, wiki)}
+
+
+def stored(spark: SparkSession, folder: str, name: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` distinct keys of a stored data set below ``folder``; an unknown name is an error."""
+    from .binary_keys import read_keys
+
+    file, width, keep = STORED[name]
+    return sample(keep(read_keys(spark, f"{folder}/{file}", width, dedupe=False)), n, seed)
+
+
+def de_sentinel(keys: DataFrame, sentinel: int) -> DataFrame:
+    """Keys of which none is the sentinel: it becomes the key below."""
+    return keys.withColumn("key", F.when(F.col("key") == sentinel, F.col("key") - 1).otherwise(F.col("key")))
+
+
+def self_payload(keys: DataFrame) -> DataFrame:
+    """Payload as the key itself."""
+    return keys.select("key", F.col("key").alias("payload"))
+
+
 def sample(keys: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` distinct keys in an order that the seed decides."""
     return keys.distinct().orderBy(murmur32(F.col("key").bitwiseXOR(F.lit(seed))), "key").limit(n)
@@ -143,9 +181,19 @@ def range_queries(keys: DataFrame, n: int, sizes: tuple[int, ...] = (1, 2, 4, 8,
 _cache: dict[tuple, DataFrame] = {}
 
 
-def cached(name: str, make, *args) -> DataFrame:
-    """A data set made once for its name and arguments, and kept in executor storage."""
-    at = (name, *map(str, args))
+def cached(name: str, make, spark: SparkSession, *args, probe_side: bool = False) -> DataFrame:
+    """A data set made once for its session, name, arguments and side, and kept in executor storage until ``uncached``.
+
+    The probe side draws from a seed of its own and keeps repeated keys; the build side's keys are distinct.
+    """
+    at = (spark.sparkContext.applicationId, name, probe_side, *map(str, args))
     if at not in _cache:
-        _cache[at] = make(*args).persist()
+        made = make(spark, *args, seed=1) if probe_side else make(spark, *args)
+        _cache[at] = (made if probe_side else made.dropDuplicates(["key"])).persist()
     return _cache[at]
+
+
+def uncached(spark: SparkSession) -> None:
+    """Frees the data sets that ``cached`` keeps for a session."""
+    for at in [a for a in _cache if a[0] == spark.sparkContext.applicationId]:
+        _cache.pop(at).unpersist()

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.reports import best_per_name
+
 #: Column types of text relations.
 TYPES = {"int": T.IntegerType(), "uint": T.LongType(), "long": T.LongType(), "ulong": T.DecimalType(20, 0), "double": T.DoubleType(), "long double": T.DoubleType()}
 
@@ -21,6 +23,20 @@ def read_text(spark: SparkSession, path: str, key: str = "uint", payload: str =
     return reader.option("header", header).option("enforceSchema", True).csv(path)
 
 
+def load_text(spark: SparkSession, path: str, rows: int, **kw) -> DataFrame:
+    """A relation of just so many rows: the first ``rows`` of a longer file, an error for a shorter one."""
+    out = read_text(spark, path, **kw).limit(rows)
+    found = out.count()
+    if found < rows:
+        raise ValueError(f"{path} has {found} rows, not {rows}")
+    return out
+
+
+def free(df: DataFrame) -> None:
+    """Gives back what a relation holds in executor storage."""
+    df.unpersist()
+
+
 def write_text(df: DataFrame, path: str, parts: int | None = None) -> None:
     """Writes ``key payload`` lines with a header, in ``parts`` files."""
     out = df.select(F.col("key").alias("#KEY,"), F.col("payload").alias("VAL"))
@@ -52,4 +68,5 @@ def read_benchmarks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.json(path)
+    """Writes results as lines of JSON, one a name: that of the least ``cpu_time``."""
+    best_per_name(df).write.json(path)
