@@ -172,17 +172,21 @@ def _concentrate(rows: DataFrame, params: DataFrame, small: bool) -> DataFrame:
 def _converged(rows: DataFrame, starts: DataFrame, small: bool) -> DataFrame:
     """The estimates of each group and start from which no step lessens the determinant; a step takes those that the one before improved."""
     mark = made()
-    params = active = persisted(_concentrate(rows, starts, small), "mcd")
+    active = every = persisted(_concentrate(rows, starts, small), "mcd")
     own = ["_q_key", "_q_start"]
     while True:
-        new = _concentrate(rows, active.drop("_q_size"), small)
         before = active.select(*own, F.col("_q_size").alias("_q_old"))
-        better = persisted(new.join(before, own).where(F.col("_q_size") < F.col("_q_old") - LESS).drop("_q_old"), "mcd")
-        if not better.limit(1).count():
-            swept(mark, params)
-            return params
-        params, active = persisted(params.join(better.select(*own), own, "left_anti").unionByName(better), "mcd"), better
-        swept(mark, params, active)
+        # Kept before it is compared, so that the comparison isn't worked into the sums below.
+        new = persisted(_concentrate(rows, active.drop("_q_size"), small), "mcd")
+        active = persisted(new.join(before, own).where(F.col("_q_size") < F.col("_q_old") - LESS).drop("_q_old"), "mcd")
+        if active.isEmpty():
+            break
+        every = every.unionByName(active)
+    # Every step that counts lessens the determinant, so the least of a group and start is its last.
+    rest = [c for c in every.columns if c not in own]
+    last = persisted(every.groupBy(*own).agg(F.min_by(F.struct(*rest), "_q_size").alias("x")).select(*own, "x.*"), "mcd")
+    swept(mark, last)
+    return last
 
 
 def estimates(rows: DataFrame) -> DataFrame:
