@@ -198,7 +198,8 @@ def _quoted(text: str, start: int, end: int) -> bool:
     An opening mark has no letter before it and no space after it, a closing one no
     space before it and no letter after it; others, such as apostrophes, are no marks.
     """
-    low = max(0, start - SPAN, text.rfind("\n", 0, start) + 1)
+    low = max(0, start - SPAN)
+    low = max(low, text.rfind("\n", low, start) + 1)
     high = text.find("\n", end, end + SPAN)
     high = min(len(text), end + SPAN) if high < 0 else high
 

@@ -76,6 +76,12 @@ def test_quotation_is_told_from_abuse(spark):
     assert all(score(t) == bare for t in abuse)
 
 
+def test_long_texts_with_many_weak_hits_take_linear_time():
+    model = toxicity.Model(prior=-2.0, terms=(("zonkhead", False),), weights=(1e-4,), fuzzy=(1e-4, 1e-4))
+    for text in ("zonkhead " * 60_000, '"zonkhead ' * 60_000, "x" * 400_000 + " zonkhaed" * 20_000):
+        assert 0 < model.scorer()(text) < 1
+
+
 def test_short_and_long_terms_are_learnt(spark):
     long = "grumpf" * 5
     docs, labels, truth = planted(spark, 900, bad=("zok", "qi", long))
