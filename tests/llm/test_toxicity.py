@@ -78,7 +78,7 @@ def test_quotation_is_told_from_abuse(spark):
 
 def test_long_texts_with_many_weak_hits_take_linear_time():
     model = toxicity.Model(prior=-2.0, terms=(("zonkhead", False),), weights=(1e-4,), fuzzy=(1e-4, 1e-4))
-    for text in ("zonkhead " * 60_000, '"zonkhead ' * 60_000, "x" * 400_000 + " zonkhaed" * 20_000):
+    for text in ("zonkhead " * 20_000, '"zonkhead ' * 20_000, "x" * 400_000 + " zonkhaed" * 9_000):
         assert 0 < model.scorer()(text) < 1
 
 
