@@ -55,8 +55,11 @@ class Rmi:
 
 
 def fit_rmi(keys: DataFrame, leaves: int, distinct: bool = True) -> Rmi:
-    """A model of ``keys`` (key); ranked once, for training and for whatever comes after. Rows with one key count as often as they occur unless ``distinct``."""
-    placed = rank_model(keys) if distinct else ranked(keys.where("key is not null").select("key"), "key")
+    """A model of ``keys`` (key); ranked once, for training and for whatever comes after.
+
+    Unless ``distinct``, rows with one key count as often as they occur, and ``placed`` keeps their other columns.
+    """
+    placed = rank_model(keys) if distinct else ranked(keys.where("key is not null"), "key")
     n, low, high = placed.agg(F.count("*"), F.min("key"), F.max("key")).first()
     low, high = low or 0, high or 0
     return Rmi(placed, _leaves(placed, n, low, high, leaves), n, low, high, leaves)

@@ -28,19 +28,18 @@ def learned_index(build: DataFrame, probe: DataFrame, leaves: int = 100) -> Data
     looks at that stretch only: the sorted rows form blocks as wide as the widest stretch,
     of which any stretch meets two at most.
     """
-    rmi = M.fit_rmi(build, leaves, distinct=False)
+    rmi = M.fit_rmi(build.withColumnsRenamed({c: f"_b_{c}" for c in build.columns if c != "key"}), leaves, distinct=False)
     if not rmi.n:
         return probe.limit(0).join(build, "key")
     model = M.with_errors(rmi)
     width = 2 * (model.agg(F.max("error")).first()[0] or 0) + 1
-    rows = scan(_known(build), ["key"], rank="_place")
-    rows = rows.withColumn("_block", F.floor(F.col("_place") / width)).drop("_place")
+    rows = rmi.placed.withColumn("_block", F.floor(F.col("rank") / width)).drop("rank")
     named = model.withColumnsRenamed({c: f"_{c}" for c in model.columns})
     routed = _known(probe).withColumn("_leaf", M.root(F.col("key"), rmi.low, rmi.high, rmi.leaves)).join(F.broadcast(named) if leaves <= M.SMALL else named, "_leaf")
     place = H.bounded(F.floor(H.linear(F.col("key").cast("double"), F.col("_slope"), F.col("_intercept")) * rmi.n), 0, rmi.n - 1).cast("long")
     block = lambda x: F.floor(H.bounded(x, 0, rmi.n - 1) / width)
     looked = routed.withColumn("_block", F.explode(F.sequence(block(place - F.col("_error")), block(place + F.col("_error")))))
-    return looked.join(rows, ["_block", "key"]).select(*probe.columns, *[c for c in build.columns if c != "key"])
+    return looked.join(rows, ["_block", "key"]).select(*probe.columns, *[F.col(f"_b_{c}").alias(c) for c in build.columns if c != "key"])
 
 
 def block_index(build: DataFrame, probe: DataFrame, every: int = 64) -> DataFrame:
